@@ -6,11 +6,15 @@ import importlib
 
 #: Query name -> (module, function). A module's SQL, where it has one, is the query's oracle.
 REGISTERED = {
+    "op1_substring_dedup": ("substring_dedup", "op1"),
     "op2_license_scan": ("license_scan", "op2"),
     "op3_topk_search": ("topk_search", "op3"),
     "op4_mix_sources": ("mixing", "op4"),
+    "op5_line_dedup": ("line_dedup", "op5"),
     "op6_byte_bpe": ("byte_bpe", "op6"),
     "op7_hash_ring": ("hash_ring", "op7"),
+    "op8_jaccard_join": ("jaccard_join", "op8"),
+    "op9_embedding_dedup": ("embedding_dedup", "op9"),
     "op10_language_id": ("language_id", "op10"),
 }
 
