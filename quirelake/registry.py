@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .plans import inspection
+
+_PLANS = (inspection,)
+
 
 def flagship(spark, sf_dir):
     return queries()["doc_profile"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for p in _PLANS for k, s in p.SQL.items()}
