@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import inspection
+from .plans import editing, inspection
 
-_PLANS = (inspection,)
+_PLANS = (inspection, editing)
 
 
 def flagship(spark, sf_dir):
