@@ -17,7 +17,7 @@ from ..sources.tables import facts, section
 from .inspection import BASE, files
 from .iterate import checkpoint
 
-GLYPHS = "doc_id long, page_no int, glyph long, text string, x double, y double, advance double, size double, font string, upright boolean"
+GLYPHS = "doc_id long, page_no int, glyph long, text string, x double, y double, advance double, size double, font string, code string, upright boolean"
 
 
 def glyph_rows(of: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def glyph_rows(of: DataFrame) -> DataFrame:
                 for i, page in enumerate(pages):
                     seen = text.interpret(doc, page, content.operations(content.content_bytes(doc, page))).glyphs
                     n = len(seen)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d] * n, pa.int64()), "page_no": pa.array([i] * n, pa.int32()), "glyph": pa.array(range(n), pa.int64()), "text": pa.array([g.text for g in seen], pa.string()), "x": pa.array([g.x for g in seen], pa.float64()), "y": pa.array([g.y for g in seen], pa.float64()), "advance": pa.array([g.advance for g in seen], pa.float64()), "size": pa.array([g.size for g in seen], pa.float64()), "font": pa.array([g.font for g in seen], pa.string()), "upright": pa.array([g.upright for g in seen], pa.bool_())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d] * n, pa.int64()), "page_no": pa.array([i] * n, pa.int32()), "glyph": pa.array(range(n), pa.int64()), "text": pa.array([g.text for g in seen], pa.string()), "x": pa.array([g.x for g in seen], pa.float64()), "y": pa.array([g.y for g in seen], pa.float64()), "advance": pa.array([g.advance for g in seen], pa.float64()), "size": pa.array([g.size for g in seen], pa.float64()), "font": pa.array([g.font for g in seen], pa.string()), "code": pa.array([bytes(g.code).hex() for g in seen], pa.string()), "upright": pa.array([g.upright for g in seen], pa.bool_())})
 
     return of.select("doc_id", "content").mapInArrow(run, GLYPHS)
 

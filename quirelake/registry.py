@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import editing, inspection
+from .plans import editing, inspection, text
 
-_PLANS = (inspection, editing)
+_PLANS = (inspection, editing, text)
 
 
 def flagship(spark, sf_dir):
