@@ -185,3 +185,24 @@ def near(vectors: DataFrame, least: float = 0.9, per_tile: int = TILE, leading:
 
 def op9(spark, sf_dir):
     return near(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.r, a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT x AS a, x AS b FROM links UNION SELECT reach.a, links.y FROM reach JOIN links ON reach.b = links.x
+), owner AS (
+  SELECT a, min(b) AS component FROM reach GROUP BY a
+), counts AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(component, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN counts ON counts.x = e.vec_id LEFT JOIN owner ON owner.a = e.vec_id
+"""

@@ -165,3 +165,22 @@ def remove_repeats(docs: DataFrame, long: int = LONG, k: int = SEED_WORDS) -> Da
 def op1(spark, sf_dir):
     out = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i) s
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, k FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM windows JOIN again USING (h))
+), words AS (
+  SELECT r, k, w[k] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k) s
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN covered USING (r, k) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
