@@ -16,6 +16,11 @@ def identity_decode(decode: Column) -> Column:
     return decode.isNull() | F.forall(F.transform(decode, lambda v, i: v == i % 2), lambda ok: ok)
 
 
+def mask_groups(images: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys of the images that soft masks' groups paint."""
+    return found.select("doc_id", F.explode("mask_images").alias("num")).join(images, ["doc_id", "num"]).select(*_KEY).distinct()
+
+
 def gray_plan(images: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
     """doc_id, num, gen, residual (null: eligible) of the images that show colour. kept, groups: keys of preserved images
     and of those in mask groups."""

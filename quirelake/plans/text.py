@@ -46,7 +46,7 @@ def gray_residuals(spark, sf_dir):
     found = _found(spark, sf_dir, "images", "page_text")
     images = section(found, "images")
     none = images.select("doc_id", "num", "gen").where("false")
-    rows = G.gray_summary(G.gray_plan(images, none, none), section(found, "page_text"))
+    rows = G.gray_summary(G.gray_plan(images, none, G.mask_groups(images, found)), section(found, "page_text"))
     return rows.agg(*[F.sum(c).alias(c) for c in ("eligible", *G.RESIDUALS)], F.count("inline_pages").alias("inline_pages"))
 
 

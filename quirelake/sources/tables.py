@@ -31,7 +31,7 @@ SECTIONS = {
     "annotations": "page_no int, position int, subtype string, rect array<double>, dest_page int, is_signature boolean",
     "outline": "position int, dest_page int",
 }
-_HEAD = "doc_id long, status string, error string, length long, page_count int, object_count int, sig_flags boolean, sig_nonzero boolean, sig_field boolean, perms boolean, form_images array<int>, uninspectable long"
+_HEAD = "doc_id long, status string, error string, length long, page_count int, object_count int, sig_flags boolean, sig_nonzero boolean, sig_field boolean, perms boolean, form_images array<int>, mask_images array<int>"
 
 #: Keys that do not change what an image shows.
 NOT_RENDERED = ("Length", "Type", "Name", "Metadata", "PieceInfo", "LastModified")
@@ -76,7 +76,7 @@ def _row(doc_id: int, length: int, data: bytes | None, sections: tuple[str, ...]
         doc = read(data or b"")
         found = _Facts(doc)
         own = {s: getattr(found, s)() for s in sections}
-        return row | {"page_count": len(found.leaves), "object_count": len(doc.objects)} | found.signature() | {"form_images": found.form_images() if "images" in sections else None, "uninspectable": 0} | own
+        return row | {"page_count": len(found.leaves), "object_count": len(doc.objects)} | found.signature() | {"form_images": found.form_images() if "images" in sections else None, "mask_images": found.mask_images() if "images" in sections else None} | own
     except Encrypted:
         return row | {"status": "encrypted", "error": "the file is encrypted"}
     except (PdfError, RecursionError, ValueError, TypeError, KeyError, IndexError, OverflowError, AttributeError) as e:
@@ -252,6 +252,33 @@ class _Facts:
                         form(state, 1)
         return sorted(out)
 
+    def mask_images(self) -> list[int]:
+        """Images that the groups of soft masks paint, through at most 32 levels of forms."""
+        out: set[int] = set()
+        seen: set[tuple[Any, bool]] = set()
+
+        def walk(resources: Any, inside: bool, depth: int) -> None:
+            own = self.doc.dict_of(resources)
+            for state in self.doc.dict_of(own.get("ExtGState")).values():
+                group = self.doc.dict_of(self.doc.dict_of(state).get("SMask")).get("G")
+                if group is not None:
+                    form(group, True, depth + 1)
+            for target in self.doc.dict_of(own.get("XObject")).values():
+                kind = self.doc.dict_of(target).get("Subtype")
+                if kind == "Image" and inside and isinstance(target, Ref):
+                    out.add(target.num)
+                elif kind == "Form":
+                    form(target, inside, depth + 1)
+
+        def form(ref: Any, inside: bool, depth: int) -> None:
+            if depth <= 32 and isinstance(ref, Ref) and (ref, inside) not in seen:
+                seen.add((ref, inside))
+                walk(self.doc.dict_of(ref).get("Resources"), inside, depth)
+
+        for page in self.leaves:
+            walk(page.inherited.get("Resources"), False, 0)
+        return sorted(out)
+
     def is_signature(self, annot: dict) -> bool:
         """A widget whose field type, its own or of up to eight parents, is Sig."""
         if annot.get("Subtype") != "Widget":

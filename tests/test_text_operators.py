@@ -45,3 +45,20 @@ def test_gray_eligibility(spark, more, want):
     assert [r.residual for r in G.gray_plan(images, none, none).collect()] == ([] if want == "none" else [want])
     if want is None:
         assert G.gray_plan(images, images.select("doc_id", "num", "gen"), none).first().residual == "preserved_stamp"
+
+
+def test_images_of_mask_groups(spark):
+    import numpy as np
+
+    from quirelake.functions.pdf import Name, Ref, Stream
+    from quirelake.sources.tables import facts, section
+
+    image = pdfs.flate_image(np.zeros((4, 4, 3), np.uint8))
+    group = Stream({"Subtype": Name("Form"), "Resources": {"XObject": {"M": Ref(31, 0), "Self": Ref(40, 0)}}}, b"/M Do")
+    state = {"ExtGState": {"G": {"SMask": {"S": Name("Luminosity"), "G": Ref(40, 0)}}}, "XObject": {"I": Ref(30, 0)}}
+    data = pdfs.build([b"/G gs /I Do"], page={"Resources": state}, extra={30: image, 31: image, 40: group})
+    found = facts(pdfs.table(spark, data), "images")
+    images = section(found, "images")
+    none = images.select("doc_id", "num", "gen").where(F.lit(False))
+    plan = G.gray_plan(images, none, G.mask_groups(images, found))
+    assert {r.num: r.residual for r in plan.collect()} == {30: None, 31: "mask_group"}
