@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import struct
 from collections import Counter, defaultdict
 
@@ -285,3 +286,36 @@ def test_text_tag_and_kernel():
     two = words.runs(2)
     assert two[1] == two[3] and two[0] != two[1] and two[3] == two[6]
     assert len(np.unique(words.hash)) == 3
+
+
+def found_pairs(spark, pairs):
+    """Share of the line pairs of which one goes; each line is a document."""
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_dropped > 0").select("doc_id").collect()}
+    return [2 * i + 1 in gone for i in range(len(pairs))]
+
+
+def variants(n_words, count, kind, seed, letters="abcdefghijklmnopqrstuvwxyz"):
+    """Pairs of a random line and its variant at edit similarity 0.9 or more."""
+    rng, out = random.Random(f"{n_words} {kind} {seed}"), []
+    for _ in range(count):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n_words)]
+        line = " ".join(words)
+        most = len(line) // 10
+        other = [*line]
+        for i in rng.sample(range(len(line)), {"letter": 1, "third": max(1, most // 3), "half": max(1, most // 2), "most": most}[kind]):
+            other[i] = rng.choice(letters)
+        other = "".join(other)
+        out.append((line, other))
+    return out
+
+
+def test_line_dedup_recall_at_each_length(spark):
+    """Against the pairs as made, which all reach edit similarity 0.9: letters changed at random, up to a tenth of the line."""
+    least = {"letter": 0.97, "third": 0.97, "half": 0.9, "most": 0.4}
+    cases = [(n, k) for n in (5, 8, 14, 20, 35, 60, 100, 150) for k in least]
+    pairs = [p for n, k in cases for p in variants(n, 40, k, 1)]
+    hit = found_pairs(spark, pairs)
+    for at, (n, k) in enumerate(cases):
+        share = sum(hit[40 * at : 40 * at + 40]) / 40
+        assert share >= least[k], (n, k, share)
