@@ -319,3 +319,15 @@ def test_line_dedup_recall_at_each_length(spark):
     for at, (n, k) in enumerate(cases):
         share = sum(hit[40 * at : 40 * at + 40]) / 40
         assert share >= least[k], (n, k, share)
+
+
+def test_line_dedup_short_and_unsegmented_lines(spark):
+    rng = random.Random(2)
+    cjk = [chr(0x4E00 + i) for i in range(800)]
+    pairs = variants(3, 60, "letter", 2) + variants(4, 60, "letter", 2)
+    for n in (12, 18, 30, 60):
+        for line in ("".join(rng.choice(cjk) for _ in range(n)) for _ in range(20)):
+            pairs.append((line, line[: n // 2] + "龜" + line[n // 2 + 1 :]))
+    pairs = [(a, b) for a, b in pairs if len(a) >= 10]
+    hit = found_pairs(spark, pairs + [("Terms of use and privacy", "Terms of use und privacy"), ("Licensed under the MIT License", "Licenced under the MIT License")])
+    assert hit[-1] and hit[-2] and sum(hit) >= 0.95 * len(hit)
