@@ -331,3 +331,11 @@ def test_line_dedup_short_and_unsegmented_lines(spark):
     pairs = [(a, b) for a, b in pairs if len(a) >= 10]
     hit = found_pairs(spark, pairs + [("Terms of use and privacy", "Terms of use und privacy"), ("Licensed under the MIT License", "Licenced under the MIT License")])
     assert hit[-1] and hit[-2] and sum(hit) >= 0.95 * len(hit)
+
+
+def test_line_dedup_word_put_into_a_very_long_line(spark):
+    pairs = []
+    for i, n in enumerate((130, 300, 1000, 2000) * 5):
+        words = prose(f"very long {i}", n, 4000).split()
+        pairs.append((" ".join(words), " ".join([*words[: 1 + i % 9], "insertion", *words[1 + i % 9 :]])))
+    assert all(found_pairs(spark, pairs))
