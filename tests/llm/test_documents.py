@@ -339,3 +339,9 @@ def test_line_dedup_word_put_into_a_very_long_line(spark):
         words = prose(f"very long {i}", n, 4000).split()
         pairs.append((" ".join(words), " ".join([*words[: 1 + i % 9], "insertion", *words[1 + i % 9 :]])))
     assert all(found_pairs(spark, pairs))
+
+
+def test_line_dedup_repeated_line_of_short_words(spark):
+    rng = random.Random(4)
+    line = " ".join(rng.choice("abcdef") + rng.choice("abcdef") for _ in range(200))
+    assert found_pairs(spark, [(line, line), ("00 11 22 " * 60, "00 11 22 " * 60)]) == [True, True]
