@@ -345,3 +345,8 @@ def test_line_dedup_repeated_line_of_short_words(spark):
     rng = random.Random(4)
     line = " ".join(rng.choice("abcdef") + rng.choice("abcdef") for _ in range(200))
     assert found_pairs(spark, [(line, line), ("00 11 22 " * 60, "00 11 22 " * 60)]) == [True, True]
+
+
+def test_line_dedup_keeps_rows_that_differ_in_digits(spark):
+    pairs = [("1234 5678 9012", "9876 5432 1098"), ("call 030 1234567 now", "call 089 7654321 now"), ("1234 5678 9013", "1234-5678-9013")]
+    assert found_pairs(spark, pairs) == [False, False, True]
