@@ -7,8 +7,10 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset and all runs in one process (tests)."""
     key = spark.sparkContext.applicationId
     if key not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = f"file://{tempfile.mkdtemp(prefix='quirelake-')}"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(base)
@@ -39,26 +43,60 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[key]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     """Best effort: the session may have ended before the interpreter."""
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     except Exception:  # noqa: BLE001 - the JVM is gone; nothing is left to ask
         return
 
 
+#: With it, a write's shuffle files go when the write ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a scratch table to the shared folder and read it back. Lost executors lose nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables of which nothing more is read."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch_path)
+
+
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, lists: str = "", wide: int = 32) -> DataFrame:
+    """Broadcast a scratch table whose bytes are counted and few; leave any other to a shuffle.
+
+    wide: bytes of a row at most; lists: SQL for the number of entries of 32 bytes that a row has besides, if any.
+    """
+    size = df.agg(F.sum(F.lit(wide) + (F.expr(lists) * 32 if lists else F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def text_tag(text: Column) -> Column:
-    """32 bits that tell apart rows of one doc_id whose texts differ."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """64 bits that tell apart rows of one doc_id whose texts differ."""
+    return F.xxhash64(text)
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -67,14 +105,11 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 # ---- numpy word kernel -------------------------------------------------------------------------------------------
 
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 _Q = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 _QINV = tuple(pow(q, -1, 1 << 64) for q in _Q)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Keys of the two hashes of a word, each a keyed hash of all its bytes.
+_KEYS = ("quirelake-word-0", "quirelake-word-1")
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,45 +139,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a few texts: byte spans in one buffer, a 64-bit hash of each, and the first word of each text."""
+    """The words of a few texts, two independent 64-bit hashes of each, and the first word of each text."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        self.raw = b"\n".join(texts) + b"\n"
-        buf = np.frombuffer(self.raw, np.uint8)
-        if lower:
-            buf = _LOWER[buf]
-        space = _SPACE[buf]
-        before = np.empty_like(space)
-        before[0], before[1:] = True, space[:-1]
-        self.starts = np.flatnonzero(before & ~space)
-        self.ends = np.flatnonzero(space & ~before)
-        at = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) + 1 for t in texts], out=at[1:])
-        self.text_at = at
-        self.first = np.searchsorted(self.starts, at)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(buf) + 1, np.uint64)
-            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_P, len(buf)), out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * powers(_PINV, len(buf))[self.starts]
-        self.hash = mixed(h ^ (self.ends - self.starts).astype(np.uint64))
+        cut = [(t.translate(_LOWER) if lower else t).split() for t in texts]
+        self.first = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(w) for w in cut], out=self.first[1:])
+        self.words = np.empty(self.first[-1], object)
+        self.words[:] = list(chain.from_iterable(cut))
+        self._hash: dict[int, np.ndarray] = {}
+        self._total: dict[int, np.ndarray] = {}
+
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        if kind not in self._hash:
+            self._hash[kind] = hash_array(self.words, hash_key=_KEYS[kind], categorize=False) if len(self.words) else np.zeros(0, np.uint64)
+        return self._hash[kind]
+
+    def __len__(self) -> int:
+        return len(self.words)
 
     def runs(self, n: int, kind: int = 0) -> np.ndarray:
         """Hash of the n words from each word on; those that cross into the next text are there too, for the caller to leave out."""
-        return self.spans(np.arange(max(0, len(self.hash) - n + 1)), n, kind)
+        return self.spans(np.arange(max(0, len(self) - n + 1)), n, kind)
 
     def spans(self, start: np.ndarray, n: np.ndarray | int, kind: int = 0) -> np.ndarray:
         """Hash of n words from each start. kind: one of two independent hashes."""
         with np.errstate(over="ignore"):
-            if not hasattr(self, f"_sum{kind}"):
-                total = np.zeros(len(self.hash) + 1, np.uint64)
-                np.cumsum(self.hash * powers(_Q[kind], len(self.hash)), out=total[1:])
-                setattr(self, f"_sum{kind}", total)
-            total = getattr(self, f"_sum{kind}")
-            out = (total[start + n] - total[start]) * powers(_QINV[kind], len(self.hash) + 1)[start]
+            if kind not in self._total:
+                total = np.zeros(len(self) + 1, np.uint64)
+                np.cumsum(self.hashes(kind) * powers(_Q[kind], len(self)), out=total[1:])
+                self._total[kind] = total
+            total = self._total[kind]
+            out = (total[start + n] - total[start]) * powers(_QINV[kind], len(self) + 1)[start]
         return mixed(out ^ np.asarray(n, np.uint64))
 
 
-def slices(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch so that each piece holds about `limit` bytes, or one text; bounds a worker's memory."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -53,7 +53,7 @@ def least_in_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.nda
 def paths_of(words: common.Words, long: int, k: int) -> tuple[np.ndarray, ...]:
     """text index, first word in the text, edges, seed, body of each path."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
-    if len(words.hash) < long:
+    if len(words) < long:
         return none
     seeds, at = least_in_windows(words.runs(k), long - k + 1)
     of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
