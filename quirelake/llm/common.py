@@ -56,20 +56,22 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
-#: With it, a write's shuffle files go when the write ends, not when the driver collects its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: its shuffle files go when it ends, not when the driver collects its garbage; and a batch of long texts stays small.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a scratch table to the shared folder and read it back. Lost executors lose nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
