@@ -47,28 +47,35 @@ def encoded(img: np.ndarray, photo: bool, quality: int) -> tuple[bytes, str]:
     return zlib.compress(np.ascontiguousarray(img).tobytes(), 9), "FlateDecode"
 
 
-def reworked(doc: Document, v: Stream, plan: dict, options: CompressOptions) -> tuple[str, str | None, Stream | None, bool]:
-    """(action, reason, new stream, turned gray) of one candidate. Not smaller means kept."""
+def reworked(doc: Document, v: Stream, plan: dict, options: CompressOptions) -> tuple[str, str | None, Stream | None, bool, int]:
+    """(action, reason, new stream, turned gray, bytes that gray adds to colour) of one candidate. Not smaller means kept.
+
+    Colour decides: what would not be written in colour does not turn gray either, and what would be written turns gray
+    even where that takes more bytes.
+    """
     img = decoded_image(doc, v)
     if img is None:
-        return "skipped", "decode_failed", None, False
+        return "skipped", "decode_failed", None, False, 0
     if plan["is_soft_mask"] and img.ndim == 3:
-        return "skipped", "non_gray_soft_mask", None, False
-    was_jpeg = bool(plan["filters"]) and plan["filters"][-1] in ("DCTDecode", "DCT")
-    photo = was_jpeg or colour.is_photo(img)
-    shrunk = plan["downsample"] and not plan["is_soft_mask"]
-    if shrunk:
-        img = colour.resized(img, plan["target_width"], plan["target_height"])
-    gray = options.grayscale and img.ndim == 3 and plan["decode"] is None and not plan["has_color_key"]
-    if gray:
-        img = colour.to_gray(img)
-    body, name = encoded(img, photo, plan["quality"])
+        return "skipped", "non_gray_soft_mask", None, False, 0
+    photo = not plan["lossless"] or colour.is_photo(img)
+    first = "first_" if plan["lossless"] and photo else ""  # a lossless source that leaves as JPEG has settings of its own
+    shrunk = plan[f"{first}downsample"]
+    sized = lambda x: colour.resized(x, plan[f"{first}target_width"], plan[f"{first}target_height"]) if shrunk else x
+    small = sized(img)
+    body, name = encoded(small, photo, plan[f"{first}quality"])
     if len(body) >= len(v.raw):
-        return "kept", None, None, False
+        return "kept", None, None, False, 0
+    over, gray = 0, plan["turns_gray"] and img.ndim == 3
+    if gray:
+        small = sized(colour.to_gray(img))
+        in_colour = len(body)
+        body, name = encoded(small, photo, plan[f"{first}quality"])
+        over = max(0, len(body) - in_colour)
     drop = ("DecodeParms", "DP", "F", "Decode" if plan["decode"] == [0.0, 1.0] * (len(plan["decode"] or []) // 2) else "DP")
     values = {k: x for k, x in v.dict.items() if k not in drop}
-    values |= {"Filter": Name(name), "Width": img.shape[1], "Height": img.shape[0], "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray" if img.ndim == 2 else "DeviceRGB")}
-    return "downsampled" if shrunk else "recompressed", None, Stream(values, body), gray
+    values |= {"Filter": Name(name), "Width": small.shape[1], "Height": small.shape[0], "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray" if small.ndim == 2 else "DeviceRGB")}
+    return "downsampled" if shrunk else "recompressed", None, Stream(values, body), gray, over
 
 
 def dedupe(doc: Document, key) -> int:
@@ -167,19 +174,19 @@ def brand(doc: Document) -> None:
 def compress(data: bytes, plan: list[dict], options: CompressOptions, is_signed: bool) -> dict:
     """Bytes and what was done. Strict leaves signed files alone; an output that is not smaller gives the input back."""
     stats = [{"num": p["num"], "action": p["action"], "skip_reason": p["skip_reason"], "input_bytes": p["stream_len"], "output_bytes": p["stream_len"]} for p in plan]
-    out = {"content": data, "images": stats, "flattened": 0, "deduplicated": 0, "modified": False, "gray": 0, "fonts_subset": 0}
+    out = {"content": data, "images": stats, "flattened": 0, "deduplicated": 0, "modified": False, "gray": 0, "gray_oversize": 0, "gray_unapplied": False, "fonts_subset": 0}
     if is_signed and options.signatures == "strict":
-        return out
+        return out | {"gray_unapplied": options.grayscale}
     doc = read(data)
     fonts_subset = fonts.subset_fonts(doc)["subset"] if options.subset_fonts else 0
     flattened = flatten_signatures(doc) if is_signed and options.signatures == "flatten" else 0
-    gray = 0
+    gray = oversize = 0
     for p, s in zip(plan, stats, strict=True):
         ref = Ref(p["num"], p["gen"])
         v = doc.objects.get(ref)
         if p["action"] == "candidate" and isinstance(v, Stream):
-            s["action"], s["skip_reason"], new, turned = reworked(doc, v, p, options)
-            gray += turned
+            s["action"], s["skip_reason"], new, turned, over = reworked(doc, v, p, options)
+            gray, oversize = gray + turned, oversize + (over > 0)
             if new is not None:
                 doc.objects[ref] = new
                 s["output_bytes"] = len(new.raw)
@@ -198,10 +205,7 @@ def compress(data: bytes, plan: list[dict], options: CompressOptions, is_signed:
     if options.remove_metadata:
         brand(doc)
     body = write_packed(doc)
-    if len(body) > len(data) and not flattened and not (options.grayscale and gray):
+    if len(body) > len(data) and (options.grayscale or not flattened):
+        out |= {"gray_unapplied": options.grayscale}
         return out | {"images": [s | {"action": "kept" if s["action"] in ("recompressed", "downsampled") else s["action"], "output_bytes": s["input_bytes"]} for s in stats]}
-    return out | {"content": body, "flattened": flattened, "deduplicated": same, "modified": True, "gray": gray, "fonts_subset": fonts_subset}
-
-
-def used_references(doc: Document) -> set[Ref]:
-    return {t for v in [doc.trailer, *doc.objects.values()] for _, t in references(v)}
+    return out | {"content": body, "flattened": flattened, "deduplicated": same, "modified": True, "gray": gray, "gray_oversize": oversize, "fonts_subset": fonts_subset}

@@ -15,13 +15,14 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import rewrite
 from ..options import CompressOptions
-from ..plans.iterate import checkpoint
+from ..plans.iterate import checkpoint, small
 from ..sources.tables import facts, section
 from . import documents as D
+from . import grayscale as G
 from . import images as I
 
-RESULT = "doc_id long, status string, error string, pages int, is_signed boolean, input_bytes long, output_bytes long, content binary, flattened int, deduplicated int, gray int, fonts_subset int, modified boolean, images array<struct<num:int,action:string,skip_reason:string,input_bytes:long,output_bytes:long>>"
-_PLAN = ["num", "gen", "action", "skip_reason", "stream_len", "filters", "smask", "decode", "has_color_key", "is_soft_mask", "downsample", "target_width", "target_height", "quality"]
+RESULT = "doc_id long, status string, error string, pages int, is_signed boolean, input_bytes long, output_bytes long, content binary, flattened int, deduplicated int, gray int, gray_oversize int, gray_unapplied boolean, fonts_subset int, modified boolean, images array<struct<num:int,action:string,skip_reason:string,input_bytes:long,output_bytes:long>>"
+_PLAN = ["num", "gen", "action", "skip_reason", "stream_len", "filters", "smask", "decode", "has_color_key", "is_soft_mask", "lossless", "downsample", "target_width", "target_height", "quality", "first_downsample", "first_target_width", "first_target_height", "first_quality", "turns_gray"]
 
 
 def planned(files: DataFrame, options: CompressOptions) -> DataFrame:
@@ -29,7 +30,10 @@ def planned(files: DataFrame, options: CompressOptions) -> DataFrame:
     found = checkpoint(facts(files, "objects", "images", "placements", "resources", "refs"))
     images = section(found, "images")
     placed = I.placed_images(section(found, "placements"), section(found, "resources"), images)
-    plan = I.image_plan(images, placed, I.soft_masks(images, section(found, "refs")), I.preserved(images, found), options)
+    kept = I.preserved(images, found)
+    plan = I.image_plan(images, placed, I.soft_masks(images, section(found, "refs")), kept, options)
+    eligible = G.gray_plan(images, kept, G.mask_groups(images, found)).where("residual IS NULL").select("doc_id", "num", "gen", F.lit(True).alias("turns_gray"))
+    plan = plan.join(eligible, ["doc_id", "num", "gen"], "left").withColumn("turns_gray", F.coalesce("turns_gray", F.lit(False)) & F.lit(options.grayscale))
     limits = D.limit_rejections(found, D.document_work(plan), options).select("doc_id", F.format_string("limit: %s %d > %d", "kind", "observed", "allowed").alias("limit"))
     rows = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_PLAN))).alias("plan"))
     marks = D.signed(found, section(found, "objects"))
@@ -41,7 +45,9 @@ def compress(files: DataFrame, options: CompressOptions = CompressOptions()) ->
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(RESULT))
-    both = planned(files, options).join(files.select("doc_id", "content"), "doc_id")
+    # plans are small beside bytes: they go to the files' rows, which stay where they are while the plans fit
+    plans = checkpoint(planned(files, options))
+    both = files.select("doc_id", "content").join(small(plans, "200 + 256 * coalesce(size(plan), 0)"), "doc_id")
     both = both.select("doc_id", "status", "error", "pages", "is_signed", "plan", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +55,7 @@ def compress(files: DataFrame, options: CompressOptions = CompressOptions()) ->
             for i in range(batch.num_rows):
                 r = {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
                 data, plan = r.pop("content"), r.pop("plan") or []
-                row = r | {"input_bytes": len(data), "content": data, "flattened": 0, "deduplicated": 0, "gray": 0, "fonts_subset": 0, "modified": False, "images": []}
+                row = r | {"input_bytes": len(data), "content": data, "flattened": 0, "deduplicated": 0, "gray": 0, "gray_oversize": 0, "gray_unapplied": False, "fonts_subset": 0, "modified": False, "images": []}
                 if r["status"] == "ok":
                     try:
                         row |= rewrite.compress(data, plan, options, bool(r["is_signed"]))
@@ -66,7 +72,7 @@ def report_json(result: DataFrame, policy: str | None, details: bool = False) ->
     reasons = F.array_sort(F.array_distinct(F.transform(F.filter("images", lambda i: i["skip_reason"].isNotNull()), lambda i: i["skip_reason"])))
     of = lambda r: F.filter("images", lambda i: i["skip_reason"] == r)
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, i: a + i["input_bytes"])
-    rows = D.report(result.withColumn("gray_unapplied", F.lit(False)), policy)
+    rows = D.report(result, policy)
     detail = [F.col("images").alias("detail")] if details else []
     body = F.struct(
         F.lit(1).alias("report_schema_version"),

@@ -69,7 +69,8 @@ def soft_masks(images: DataFrame, refs: DataFrame) -> DataFrame:
 def preserved(images: DataFrame, found: DataFrame) -> DataFrame:
     """Images of signature appearances, and small stamps unless a document's stamps exceed the total."""
     shown = found.select("doc_id", F.explode("form_images").alias("num")).join(images, ["doc_id", "num"]).select(*_KEY)
-    small = images.where((F.greatest("width", "height") <= STAMP_SIDE) & (F.col("stream_len") <= STAMP_BYTES) & F.array_contains("filters", "DCTDecode"))
+    sides = (F.least("width", "height") > 0) & F.col("width").isNotNull() & F.col("height").isNotNull() & (F.greatest("width", "height") <= STAMP_SIDE)
+    small = images.where(sides & (F.col("stream_len") <= STAMP_BYTES))
     small = small.withColumn("total", F.sum("stream_len").over(Window.partitionBy("doc_id"))).where(F.col("total") <= STAMP_TOTAL)
     return shown.unionByName(small.select(*_KEY)).distinct()
 
@@ -122,7 +123,10 @@ def working_bytes(options: CompressOptions) -> Column:
 
 
 def image_plan(images: DataFrame, placed: DataFrame, masks: DataFrame, kept: DataFrame, options: CompressOptions = CompressOptions()) -> DataFrame:
-    """One row per image with every gate evaluated. action: preserved, skipped or candidate."""
+    """One row per image with every gate evaluated. action: preserved, skipped or candidate.
+
+    What holds for a lossless source that leaves as JPEG, which only its pixels tell, stands beside in columns named first_*.
+    """
     target, quality = options.resolved()
     rows = images.join(max_dpi(placed), _KEY, "left")
     rows = rows.join(masks.withColumn("is_soft_mask", F.lit(True)), _KEY, "left").join(kept.withColumn("is_preserved", F.lit(True)), _KEY, "left")
@@ -130,11 +134,15 @@ def image_plan(images: DataFrame, placed: DataFrame, masks: DataFrame, kept: Dat
     reason = F.when(~F.col("is_preserved"), guard_reason(options))
     rows = rows.withColumn("skip_reason", reason).withColumn("action", F.when(F.col("is_preserved"), "preserved").when(F.col("skip_reason").isNotNull(), "skipped").otherwise("candidate"))
     lossless = ~F.coalesce(F.element_at("filters", -1).isin("DCTDecode", "DCT"), F.lit(False))
-    wanted = F.when(lossless, F.lit(options.transcode_dpi or target)).otherwise(F.lit(target))
-    down = F.lit(options.downsample) & ~F.col("is_soft_mask") & F.coalesce(F.col("dpi") > (wanted.cast("float") * F.lit(HEADROOM).cast("float")).cast("float"), F.lit(False))
-    rows = rows.withColumn("target_dpi", wanted).withColumn("downsample", down & (F.col("action") == "candidate"))
-    size = lambda x: F.when(F.col("downsample"), target_side(F.col(x), F.col("dpi"), target)).otherwise(F.col(x))
-    rows = rows.withColumns({"target_width": size("width"), "target_height": size("height"), "quality": F.when(lossless, F.lit(options.transcode_quality or quality)).otherwise(F.lit(quality)), "work": working_bytes(options)})
+
+    def shrunk(dpi: int, first: str = "") -> dict[str, Column]:
+        above = F.coalesce(F.col("dpi") > (F.lit(dpi).cast("float") * F.lit(HEADROOM).cast("float")).cast("float"), F.lit(False))
+        down = F.lit(options.downsample) & ~F.col("is_soft_mask") & above & (F.col("action") == "candidate")
+        size = lambda x: F.when(down, target_side(F.col(x), F.col("dpi"), dpi)).otherwise(F.col(x))
+        return {f"{first}target_dpi": F.lit(dpi), f"{first}downsample": down, f"{first}target_width": size("width"), f"{first}target_height": size("height")}
+
+    rows = rows.withColumns(shrunk(target) | shrunk(options.transcode_dpi or target, "first_"))
+    rows = rows.withColumns({"lossless": lossless, "quality": F.lit(quality), "first_quality": F.lit(options.transcode_quality or quality), "work": working_bytes(options)})
     gate = F.lit(options.quality_target is not None) & (F.least("width", "height") >= PERCEPTUAL_SIDE) & (F.col("stream_len") >= PERCEPTUAL_BYTES)
     return rows.withColumn("perceptual", F.coalesce(gate, F.lit(False)))
 

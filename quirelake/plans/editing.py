@@ -14,7 +14,7 @@ from ..operators import compress as C
 from ..operators import editing as E
 from ..options import CompressOptions
 from ..sources.tables import facts, section
-from .inspection import BASE, files
+from .inspection import BASE, files, with_lengths
 from .iterate import checkpoint
 
 GLYPHS = "doc_id long, page_no int, glyph long, text string, x double, y double, advance double, size double, font string, code string, upright boolean"
@@ -123,10 +123,11 @@ def compress_invariants(spark, sf_dir):
 
 
 def compress_actions(spark, sf_dir):
-    """Images of each action over the corpus, for what can be told beforehand: skipped ones by reason."""
+    """Images of each action over the corpus. What becomes of pixels has no formula: 'tried' stands for rewritten or kept."""
     done = C.compress(files(spark, sf_dir), CompressOptions(signatures="ignore"))
-    rows = done.select(F.explode("images").alias("i")).where("i.action = 'skipped'")
-    return rows.groupBy(F.col("i.skip_reason").alias("skip_reason")).agg(F.count("*").alias("images"))
+    rows = done.select(F.explode("images").alias("i"))
+    action = F.when(F.col("i.action").isin("preserved", "skipped"), F.col("i.action")).otherwise("tried")
+    return rows.groupBy(action.alias("action"), F.col("i.skip_reason").alias("skip_reason")).agg(F.count("*").alias("images"), F.sum("i.input_bytes").alias("input_bytes"))
 
 
 def strict_signatures(spark, sf_dir):
@@ -163,7 +164,7 @@ SQL = {
     "arrange_drop_last": BASE + "SELECT d AS doc_id, pages AS pages_in, greatest(1, pages - 1) AS pages_out, CASE WHEN pages > 1 THEN 1::BIGINT ELSE 0 END AS outline_items_removed, CASE WHEN pages > 1 THEN (pages > 1)::BIGINT ELSE 0 END AS links_removed FROM ok",
     "arranged_rotation": BASE + "SELECT CAST((90 * (d % 4) + 90) % 360 AS BIGINT) AS rotation, count(*) AS pages FROM ok GROUP BY 1",
     "compress_invariants": BASE + "SELECT d AS doc_id, CASE WHEN encrypted THEN 'encrypted' ELSE 'ok' END AS status, true AS no_larger, true AS same_pages FROM f",
-    "compress_actions": BASE + "SELECT CASE kind WHEN 2 THEN 'jpx' WHEN 3 THEN 'ccitt' ELSE 'unsupported_bit_depth' END AS skip_reason, count(*) AS images FROM img WHERE kind >= 2 GROUP BY kind",
+    "compress_actions": lambda: with_lengths("SELECT CASE WHEN preserved THEN 'preserved' WHEN kind >= 2 THEN 'skipped' ELSE 'tried' END AS action, CASE WHEN preserved OR kind < 2 THEN NULL WHEN kind = 2 THEN 'jpx' WHEN kind = 3 THEN 'ccitt' ELSE 'unsupported_bit_depth' END AS skip_reason, count(*) AS images, CAST(sum(n_bytes) AS BIGINT) AS input_bytes FROM p GROUP BY 1, 2"),
     "strict_signatures": BASE + "SELECT true AS same_bytes, count(*) AS files FROM ok WHERE d % 11 = 0",
     "gray_luma": "SELECT CAST((30 * (l_orderkey % 256) + 59 * (l_partkey % 256) + 11 * (l_suppkey % 256) + 50) // 100 AS BIGINT) AS gray, count(*) AS pixels FROM lineitem GROUP BY 1",
     "cmyk_rgb": "SELECT CAST(((255 - l_orderkey % 256) * (255 - l_partkey % 256) + 127) // 255 AS BIGINT) AS red, count(*) AS pixels FROM lineitem GROUP BY 1",

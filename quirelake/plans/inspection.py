@@ -79,7 +79,7 @@ def downsample_candidates(spark, sf_dir):
 
 def skip_summary(spark, sf_dir):
     _, _, plan = _plan(spark, sf_dir)
-    return I.skip_summary(plan.where("skip_reason <> 'unsupported_bit_depth'")).unionByName(I.skip_summary(plan.where("skip_reason = 'unsupported_bit_depth'")).withColumn("input_bytes", F.lit(None).cast("long")))
+    return I.skip_summary(plan)
 
 
 def action_histogram(spark, sf_dir):
@@ -89,20 +89,17 @@ def action_histogram(spark, sf_dir):
 
 def work_estimate(spark, sf_dir):
     _, _, plan = _plan(spark, sf_dir)
-    rows = plan.where("skip_reason IN ('jpx', 'ccitt')")
-    return D.document_work(rows)
+    return D.document_work(plan)
 
 
 def batch_plan(spark, sf_dir):
     _, _, plan = _plan(spark, sf_dir)
-    rows = plan.withColumn("work", F.col("width") * F.col("height") * 24)
-    return I.batches(rows, 3_000_000, 2).select("doc_id", "batch", "images", "work")
+    return I.batches(plan, 3_000_000, 2).select("doc_id", "batch", "images", "work")
 
 
 def limit_rejections(spark, sf_dir):
-    found = _found(spark, sf_dir)
-    none = spark.createDataFrame([], "doc_id long, work long")
-    return D.limit_rejections(found, none, CompressOptions(max_pages=1, max_objects=12))
+    found, _, plan = _plan(spark, sf_dir)
+    return D.limit_rejections(found, D.document_work(plan), CompressOptions(max_pages=1, max_objects=12, max_total_work_bytes=3_000_000))
 
 
 def duplicate_images(spark, sf_dir):
@@ -162,7 +159,7 @@ def page_text_bytes(spark, sf_dir):
 
 def operator_counts(spark, sf_dir):
     ops = section(_found(spark, sf_dir, "ops"), "ops")
-    return ops.where("operator IN ('Do', 'Tj', 'T*', 'cm')").groupBy("operator").agg(F.count("*").alias("n"))
+    return ops.groupBy("operator").agg(F.count("*").alias("n"))
 
 
 def scanned_documents(spark, sf_dir):
@@ -179,6 +176,18 @@ def corpus_report(spark, sf_dir):
     return rows.rollup("doc_id").agg(F.sum("pages").alias("pages"), F.sum("images").alias("images"), F.sum("failed").alias("failed"))
 
 
+def with_lengths(sql: str) -> str:
+    """The formulas with `img` that also has the bytes of each image's stream, which no formula gives, and what stamps are."""
+    rows = ", ".join(f"({k}, {w}, {s}, {n})" for (k, w, s), n in sorted(bridge.stream_lengths().items()))
+    more = f""", len(kind, w, seed, n_bytes) AS (VALUES {rows}), pic AS (
+  SELECT img.d, img.j, img.kind, img.w, img.k, img.pages, len.n_bytes, img.w <= 300 AND len.n_bytes <= 51200 AS small,
+    coalesce(sum(len.n_bytes) FILTER (img.w <= 300 AND len.n_bytes <= 51200) OVER (PARTITION BY img.d), 0) <= 1048576 AS few
+  FROM img JOIN len ON len.kind = img.kind AND len.w = img.w AND len.seed = img.j % 2
+), p AS (SELECT *, small AND few AS preserved, w * w * 24 + 2 * n_bytes AS work FROM pic)
+"""
+    return BASE + more + sql
+
+
 QUERIES = {f.__name__: f for f in (doc_profile, parse_status, page_rotation, object_counts, image_effective_dpi, downsample_candidates, skip_summary, action_histogram, work_estimate, batch_plan, limit_rejections, duplicate_images, duplicate_documents, unreachable_objects, signature_report, plain_page_geometry, shared_content_streams, outline_targets, link_targets, page_text_bytes, operator_counts, scanned_documents, corpus_report)}
 
 SQL = {
@@ -187,19 +196,19 @@ SQL = {
     "page_rotation": BASE + "SELECT 90 * (d % 4) AS rotation, CAST(sum(pages) AS BIGINT) AS pages FROM ok GROUP BY 1",
     "object_counts": BASE + "SELECT d AS doc_id, 3 + k + 4 * pages + d % 3 AS objects FROM ok",
     "image_effective_dpi": BASE + "SELECT d AS doc_id, w / 2.0::DOUBLE AS dpi FROM img",
-    "downsample_candidates": BASE + "SELECT d AS doc_id, count(*) AS images, CAST(min(floor(w * (150 / (w / 2.0)) + 0.5)) AS BIGINT) AS target_width FROM img WHERE kind < 2 AND w / 2.0 > 150 * 1.05 GROUP BY 1",
-    "skip_summary": BASE + "SELECT CASE kind WHEN 2 THEN 'jpx' WHEN 3 THEN 'ccitt' ELSE 'unsupported_bit_depth' END AS skip_reason, count(*) AS images, CAST(CASE WHEN kind < 4 THEN 1000 * count(*) END AS BIGINT) AS input_bytes FROM img WHERE kind >= 2 GROUP BY kind",
-    "action_histogram": BASE + "SELECT d AS doc_id, CAST(0 AS BIGINT) AS preserved, count(*) FILTER (kind >= 2) AS skipped, count(*) FILTER (kind < 2) AS candidate FROM img GROUP BY 1",
-    "work_estimate": BASE + "SELECT d AS doc_id, CAST(sum(w * w * 24 + 2000) AS BIGINT) AS work FROM img WHERE kind IN (2, 3) GROUP BY 1",
-    "batch_plan": BASE.replace("WITH t AS", "WITH RECURSIVE t AS") + """, step AS (
-  SELECT d, j, w * w * 24 AS own, 0 AS batch, w * w * 24 AS work, 1 AS n FROM img WHERE j = 0
+    "downsample_candidates": lambda: with_lengths("SELECT d AS doc_id, count(*) AS images, CAST(min(floor(w * (150 / (w / 2.0)) + 0.5)) AS BIGINT) AS target_width FROM p WHERE kind < 2 AND NOT preserved AND w / 2.0 > 150 * 1.05 GROUP BY 1"),
+    "skip_summary": lambda: with_lengths("SELECT CASE kind WHEN 2 THEN 'jpx' WHEN 3 THEN 'ccitt' ELSE 'unsupported_bit_depth' END AS skip_reason, count(*) AS images, CAST(sum(n_bytes) AS BIGINT) AS input_bytes FROM p WHERE kind >= 2 AND NOT preserved GROUP BY kind"),
+    "action_histogram": lambda: with_lengths("SELECT d AS doc_id, count(*) FILTER (preserved) AS preserved, count(*) FILTER (NOT preserved AND kind >= 2) AS skipped, count(*) FILTER (NOT preserved AND kind < 2) AS candidate FROM p GROUP BY 1"),
+    "work_estimate": lambda: with_lengths("SELECT d AS doc_id, CAST(sum(work) AS BIGINT) AS work FROM p GROUP BY 1"),
+    "batch_plan": lambda: with_lengths(""", step AS (
+  SELECT d, j, work AS own, 0 AS batch, work, 1 AS n FROM p WHERE j = 0
   UNION ALL
-  SELECT i.d, i.j, i.w * i.w * 24, CASE WHEN s.work + i.w * i.w * 24 > 3000000 OR s.n >= 2 THEN s.batch + 1 ELSE s.batch END,
-    CASE WHEN s.work + i.w * i.w * 24 > 3000000 OR s.n >= 2 THEN i.w * i.w * 24 ELSE s.work + i.w * i.w * 24 END,
-    CASE WHEN s.work + i.w * i.w * 24 > 3000000 OR s.n >= 2 THEN 1 ELSE s.n + 1 END
-  FROM step s JOIN img i ON i.d = s.d AND i.j = s.j + 1
-) SELECT d AS doc_id, CAST(batch AS BIGINT) AS batch, count(*) AS images, CAST(sum(own) AS BIGINT) AS work FROM step GROUP BY 1, 2""",
-    "limit_rejections": BASE + "SELECT d AS doc_id, CASE WHEN pages > 1 THEN 'pages' ELSE 'objects' END AS kind, CASE WHEN pages > 1 THEN pages ELSE 3 + k + 4 * pages + d % 3 END AS observed, CAST(CASE WHEN pages > 1 THEN 1 ELSE 12 END AS BIGINT) AS allowed FROM ok WHERE pages > 1 OR 3 + k + 4 * pages + d % 3 > 12",
+  SELECT i.d, i.j, i.work, CASE WHEN s.work + i.work > 3000000 OR s.n >= 2 THEN s.batch + 1 ELSE s.batch END,
+    CASE WHEN s.work + i.work > 3000000 OR s.n >= 2 THEN i.work ELSE s.work + i.work END,
+    CASE WHEN s.work + i.work > 3000000 OR s.n >= 2 THEN 1 ELSE s.n + 1 END
+  FROM step s JOIN p i ON i.d = s.d AND i.j = s.j + 1
+) SELECT d AS doc_id, CAST(batch AS BIGINT) AS batch, count(*) AS images, CAST(sum(own) AS BIGINT) AS work FROM step GROUP BY 1, 2""").replace("WITH t AS", "WITH RECURSIVE t AS", 1),
+    "limit_rejections": lambda: with_lengths(", o AS (SELECT ok.d, pages, 3 + k + 4 * pages + d % 3 AS objects, coalesce(w.work, 0) AS work FROM ok LEFT JOIN (SELECT d, CAST(sum(work) AS BIGINT) AS work FROM p GROUP BY 1) w USING (d)) SELECT d AS doc_id, CASE WHEN pages > 1 THEN 'pages' WHEN objects > 12 THEN 'objects' ELSE 'total_work' END AS kind, CASE WHEN pages > 1 THEN pages WHEN objects > 12 THEN objects ELSE work END AS observed, CAST(CASE WHEN pages > 1 THEN 1 WHEN objects > 12 THEN 12 ELSE 3000000 END AS BIGINT) AS allowed FROM o WHERE pages > 1 OR objects > 12 OR work > 3000000"),
     "duplicate_images": BASE + "SELECT d AS doc_id, CAST(count(*) - count(DISTINCT (kind, j % 2)) AS BIGINT) AS images FROM img GROUP BY 1 HAVING count(*) > count(DISTINCT (kind, j % 2))",
     "duplicate_documents": "SELECT min(doc_id) AS canonical, count(*) AS files, CAST(octet_length(encode(text)) AS BIGINT) AS length, CAST((count(*) - 1) * octet_length(encode(text)) AS BIGINT) AS redundant_bytes FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "unreachable_objects": BASE + "SELECT d AS doc_id, d % 3 AS objects FROM ok WHERE d % 3 > 0",
@@ -209,7 +218,7 @@ SQL = {
     "outline_targets": BASE + "SELECT d AS doc_id, pages AS items, CAST(pages * (pages - 1) // 2 AS BIGINT) AS page_sum FROM ok",
     "link_targets": BASE + "SELECT d AS doc_id, pages - 1 AS links FROM ok WHERE pages > 1",
     "page_text_bytes": BASE + "SELECT d AS doc_id, p AS page_no, CAST(greatest(0, least(n, 4000 * (p + 1)) - 4000 * p) AS BIGINT) AS text_bytes FROM ok, LATERAL (SELECT unnest(range(pages)) AS p) s",
-    "operator_counts": BASE + "SELECT o.operator, CAST(sum(CASE o.operator WHEN 'Tj' THEN lines WHEN 'T*' THEN lines - pages ELSE k END) AS BIGINT) AS n FROM ok, (VALUES ('Do'), ('Tj'), ('T*'), ('cm')) o(operator) GROUP BY 1",
+    "operator_counts": BASE + "SELECT o.operator, CAST(sum(CASE WHEN o.operator = 'Tj' THEN lines WHEN o.operator = 'T*' THEN lines - pages WHEN o.operator IN ('q', 'Q', 'cm', 'Do') THEN k ELSE pages END) AS BIGINT) AS n FROM ok, (VALUES ('Do'), ('Tj'), ('T*'), ('cm'), ('q'), ('Q'), ('BT'), ('ET'), ('Tf'), ('TL'), ('Td')) o(operator) GROUP BY 1 HAVING n > 0",
     "scanned_documents": BASE + "SELECT false AS scanned, CAST(sum(pages) AS BIGINT) AS pages FROM ok",
     "corpus_report": BASE + ", r AS (SELECT d, CASE WHEN encrypted THEN 0 ELSE pages END AS pages, CASE WHEN encrypted THEN 0 ELSE k END AS images, encrypted::BIGINT AS failed FROM f) SELECT d AS doc_id, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(images) AS BIGINT) AS images, CAST(sum(failed) AS BIGINT) AS failed FROM r GROUP BY ROLLUP (d)",
 }

@@ -16,4 +16,4 @@ def queries():
 
 
 def oracle_sql():
-    return {k: s for p in _PLANS for k, s in p.SQL.items()}
+    return {k: s() if callable(s) else s for p in _PLANS for k, s in p.SQL.items()}

@@ -57,6 +57,12 @@ def image(d: int, j: int) -> Stream:
     return Stream(values | {"Filter": Name("FlateDecode")}, zlib.compress(pixels(side, 3 if kind == 0 else 1, j % 2), 1))
 
 
+def stream_lengths() -> dict[tuple[int, int, int], int]:
+    """Bytes of an image's stream by kind, side and seed."""
+    made = {(d, j): image(d, j) for d in range(35) for j in range(2)}
+    return {((d + j) % 5, 100 + 50 * (d % 7), j): len(v.raw) for (d, j), v in made.items()}
+
+
 def build(d: int, text: str | None) -> bytes:
     t = flat(text)
     lines = [t[i : i + LINE] for i in range(0, max(1, len(t)), LINE)]
@@ -113,4 +119,7 @@ def files(documents: DataFrame) -> DataFrame:
                 part = [(d, build(d, t)) for d, t in zip(ids[i : i + 64], texts[i : i + 64], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in part], pa.int64()), "path": [f"doc-{d}.pdf" for d, _ in part], "length": pa.array([len(c) for _, c in part], pa.int64()), "content": pa.array([c for _, c in part], pa.binary())})
 
-    return documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, FILES)
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
+    # a scan of few row groups gives few tasks, and building is work: deal the rows out
+    least = 2 * documents.sparkSession.sparkContext.defaultParallelism
+    return (rows.repartition(least) if rows.rdd.getNumPartitions() < least else rows).mapInArrow(run, FILES)

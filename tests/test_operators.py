@@ -208,7 +208,7 @@ def test_compress_policies(spark):
 
 
 def test_compress_grayscale_dedupe_and_report(spark):
-    extra = {30: pdfs.flate_image(pdfs.picture(200, 1), Name=Name("A")), 31: pdfs.flate_image(pdfs.picture(200, 1), Name=Name("B"))}
+    extra = {30: pdfs.flate_image(pdfs.picture(400, 1), Name=Name("A")), 31: pdfs.flate_image(pdfs.picture(400, 1), Name=Name("B"))}
     data = pdfs.build([PAINT + b" q 144 0 0 144 200 0 cm /I1 Do Q"], xobjects={"I0": Ref(30, 0), "I1": Ref(31, 0)}, extra=extra)
     done = C.compress(pdfs.table(spark, data), CompressOptions(grayscale=True, dedupe_images=True))
     row = done.first()
@@ -292,3 +292,33 @@ def test_queries_have_names():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {*sql} <= {*queries} and len(queries) >= 30
+
+
+@pytest.mark.parametrize("width, height, want", [(8, 8, 1), (300, 300, 1), (301, 8, 0), (8, 301, 0)])
+def test_small_stamps_of_any_filter_are_preserved(spark, width, height, want):
+    data = pdfs.build([PAINT], xobjects={"I0": Ref(30, 0)}, extra={30: pdfs.flate_image(np.zeros((height, width, 3), np.uint8))})
+    found = facts(pdfs.table(spark, data), "images")
+    assert I.preserved(section(found, "images"), found).count() == want
+
+
+def test_transcode_settings_stand_beside_the_plan(spark):
+    data = pdfs.build([PAINT], xobjects={"I0": Ref(30, 0)}, extra={30: pdfs.flate_image(pdfs.picture(600, 1))})
+    found = facts(pdfs.table(spark, data), "images", "placements", "resources", "refs")
+    images = section(found, "images")
+    placed = I.placed_images(section(found, "placements"), section(found, "resources"), images)
+    none = images.select("doc_id", "num", "gen").where("false")
+    row = I.image_plan(images, placed, none, none, CompressOptions(transcode_dpi=100, transcode_quality=40)).first()
+    assert (row.lossless, row.target_width, row.quality, row.first_target_width, row.first_quality) == (True, 300, 65, 200, 40)
+
+
+def test_colour_decides_whether_gray_is_written():
+    from quirelake.functions import rewrite
+    from quirelake.functions.pdf import Document
+
+    doc = Document({}, {}, "1.4")
+    plan = {"is_soft_mask": False, "lossless": True, "downsample": False, "first_downsample": False, "quality": 65, "first_quality": 65, "decode": None, "turns_gray": True}
+    flat = pdfs.flate_image(np.full((16, 16, 3), 7, np.uint8))
+    assert rewrite.reworked(doc, flat, plan, CompressOptions(grayscale=True))[:1] == ("kept",)
+    photo = pdfs.flate_image(pdfs.picture(400, 1))
+    action, _, new, gray, _ = rewrite.reworked(doc, photo, plan, CompressOptions(grayscale=True))
+    assert action == "recompressed" and gray and new.dict["ColorSpace"] == "DeviceGray"
