@@ -285,7 +285,7 @@ def test_text_tag_and_kernel():
     assert words.first.tolist() == [0, 3, 3, 8]
     two = words.runs(2)
     assert two[1] == two[3] and two[0] != two[1] and two[3] == two[6]
-    assert len(np.unique(words.hash)) == 3
+    assert len(np.unique(words.hashes())) == len(np.unique(words.hashes(1))) == 3
 
 
 def found_pairs(spark, pairs):
@@ -350,3 +350,53 @@ def test_line_dedup_repeated_line_of_short_words(spark):
 def test_line_dedup_keeps_rows_that_differ_in_digits(spark):
     pairs = [("1234 5678 9012", "9876 5432 1098"), ("call 030 1234567 now", "call 089 7654321 now"), ("1234 5678 9013", "1234-5678-9013")]
     assert found_pairs(spark, pairs) == [False, False, True]
+
+
+def twins(n):
+    """Two words of n letters that polynomial hashes modulo a power of two take for one: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_simple_hashes_confuse_are_told_apart(spark, n):
+    sides = [f"{prose('left', 20)} {w} {prose('right', 20)}" for w in twins(n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sides)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).collect()] == [0, 0]
+    short = spark.createDataFrame([(i, f"one two three {w} five six seven") for i, w in enumerate(twins(n))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.cluster(short).collect()} == {(0, 0), (1, 1)}
+
+
+def test_substring_dedup_of_many_rows_without_doc_id(spark):
+    passage = prose("shared by all", 50)
+    docs = spark.createDataFrame([(None, f"{prose(i, 40)} own{i} {passage}") for i in range(300)], "doc_id long, text string")
+    assert {(r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()} == {(91, 50)}
+
+
+def test_jaccard_join_of_groups_with_one_prefix(spark):
+    """Sets that agree in prefix and size, but not in the rest: members of one group that must be told apart."""
+    import numpy as np
+
+    texts = [prose("one group", 80), prose("one group", 78) + " other end", prose("another", 80)]
+    bounds, h = jaccard_join.sets_of([t.encode() for t in texts], 5)
+    assert len(bounds) == 4 and len(np.unique(h)) <= len(h)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.cluster(docs).collect())
+    assert got == _components(rows)
+
+
+def test_walk_word_by_word_is_no_less_than_the_distance(spark):
+    """Texts that take the longer way: what is accepted is within the distance, what is refused is not."""
+    rng, rows = random.Random(9), []
+    for i in range(30):
+        words = prose(f"long {i}", 150, 4000).split()
+        other = list(words)
+        for _ in range(rng.randrange(25)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [f"new{rng.randrange(99)}"] * rng.randrange(2)
+        rows.append((" ".join(words), " ".join(other)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    most = F.lit(60)
+    got = df.select(line_dedup.close(F.col("a"), F.col("b"), most).alias("c"), (F.levenshtein("a", "b") <= most).alias("d"), F.length("a").alias("n")).collect()
+    assert all(r.c == r.d for r in got) and {r.c for r in got} == {True, False} and max(r.n for r in got) > line_dedup.SHORT_TEXT
