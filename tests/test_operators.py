@@ -317,7 +317,7 @@ def test_colour_decides_whether_gray_is_written():
 
     doc = Document({}, {}, "1.4")
     plan = {"is_soft_mask": False, "lossless": True, "downsample": False, "first_downsample": False, "quality": 65, "first_quality": 65, "decode": None, "turns_gray": True}
-    flat = pdfs.flate_image(np.full((16, 16, 3), 7, np.uint8))
+    flat = pdfs.flate_image(np.full((1, 1, 3), 7, np.uint8))
     assert rewrite.reworked(doc, flat, plan, CompressOptions(grayscale=True))[:1] == ("kept",)
     photo = pdfs.flate_image(pdfs.picture(400, 1))
     action, _, new, gray, _ = rewrite.reworked(doc, photo, plan, CompressOptions(grayscale=True))
