@@ -6,6 +6,7 @@ import random
 import struct
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,17 @@ def test_jaccard_join_on_families(spark, monkeypatch):
     assert len({c for _, _, c in want}) < len(rows)
 
 
+def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 4000, n).astype(np.uint64)) for n in (0, 1, 7, 300, 300, 2500, 5000)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    bits = jaccard_join.parities(bounds, np.concatenate(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            unlike = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert unlike <= len(np.setxor1d(a, b)) and (unlike - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_jaccard_salts_do_not_change_results(spark):
     """Rows of a token that the sketch deals to several tasks meet again."""
     rows = [(i, " ".join(["same"] * 3 + [f"w{j}" for j in range(40)] + [f"own{i}"]), "en", "s") for i in range(40)]
