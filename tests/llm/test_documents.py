@@ -208,8 +208,8 @@ def test_parities_differ_in_no_more_bits_than_the_sets_in_shingles():
     bits = jaccard_join.parities(bounds, np.concatenate(sets))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
-            unlike = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
-            assert unlike <= len(np.setxor1d(a, b)) and (unlike - len(np.setxor1d(a, b))) % 2 == 0
+            apart, most = jaccard_join.unlike(bits[i], bits[j]), len(np.setxor1d(a, b))
+            assert apart <= most and (most - apart) % 2 == 0
 
 
 def test_jaccard_salts_do_not_change_results(spark):
