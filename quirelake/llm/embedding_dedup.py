@@ -6,8 +6,11 @@ lie apart. A meeting multiplies the leading dimensions first; a pair whose parti
 of what is left cannot reach the threshold stops there, and only the others are finished and decided in double precision
 on the original scaled vectors.
 
-A meeting returns a count for each vector and a spanning forest of its links, not the links themselves: at most as many
-edges as it has vectors. Components of these edges are those of all links.
+The tiles are stored once, as the vectors came, and never shuffled again: a turn broadcasts a bounded number of them, and each
+tile from these on that may meet them is read where it lies. So disk holds the vectors about twice, however many tiles meet.
+
+A task returns a count for each vector and edges that connect what its links connect, not the links themselves: at most as many
+edges as it has met vectors. Components of these edges are those of all links.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 unlike lengths do not link; rows that repeat one vec_id count one by one and reach each other; a null vec_id links with
@@ -17,11 +20,13 @@ nothing and keeps a row; an empty table gives no rows; labels and other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -30,19 +35,43 @@ from .topk_search import usable
 #: Rows of a tile, and dimensions that are multiplied before a pair may stop.
 TILE = 2048
 LEADING = 16
-_PART = "dim int, tile int, least double, most double, rows long, ids binary, vectors binary, turned binary"
+#: Bytes of the tiles that one turn broadcasts, and after how many turns what they found becomes one table.
+TURN_BYTES = 32 << 20
+FOLD = 16
+#: Files of tiles at least, so that tasks have some each.
+FILES = 32
+_PART = "dim int, tile int, least double, most double, rows long, ids binary, vectors binary"
+
+
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v): rows that may link, as they came: floats stay floats."""
+    kept = vectors.schema["embedding"].dataType.elementType == T.FloatType()
+    v = F.col("embedding") if kept else F.col("embedding").cast("array<double>")
+    good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.exists("v", lambda x: x != 0))
 
 
-def unit(vectors: DataFrame) -> DataFrame:
-    """(vec_id, row, v): usable rows, scaled to length one. row tells repeated ids apart."""
-    good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), top.alias("top")).where("top > 0")
-    # by the largest component first: squares of very large or small ones stay finite
-    scaled = scaled.select("vec_id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("norm", norm).select("vec_id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one. Each row comes out alike whatever rows stand beside it."""
+    m = m.astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)  # by the largest component first: squares of very large or small ones stay finite
+    return m / np.sqrt(np.cumsum(m * m, axis=1)[:, -1:])
+
+
+def first(m: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """First principal coordinate of rows of length one, alike whatever rows stand beside."""
+    return np.cumsum(m * turn[:, 0], axis=1)[:, -1]
+
+
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, places, matrix) of each vector length in each batch; places: which of its rows."""
+    for batch in batches:
+        lists = batch.column("v")
+        ends = lists.offsets.to_numpy()
+        sizes, flat = np.diff(ends), lists.values.to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            yield batch, at, flat[ends[at][:, None] + np.arange(dim)]
 
 
 def axes(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -50,14 +79,9 @@ def axes(rows: DataFrame) -> dict[int, np.ndarray]:
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            lists = batch.column("v")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            for dim in np.unique(sizes):
-                m = np.stack([flat[e - dim : e] for e in ends[sizes == dim]])
-                total[int(dim)] = total.get(int(dim), 0) + m.T @ m
+        for _, _, m in by_length(batches):
+            m = unit(m)
+            total[m.shape[1]] = total.get(m.shape[1], 0) + m.T @ m
         yield pa.RecordBatch.from_pydict({"dim": pa.array(list(total), pa.int32()), "m": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,40 +102,59 @@ def axes(rows: DataFrame) -> dict[int, np.ndarray]:
 
 def tiles(rows: DataFrame, turns: dict[int, np.ndarray], per_tile: int) -> DataFrame:
     """Rows packed into tiles by range of the first principal coordinate."""
-    first = {d: [float(x) for x in t[:, 0]] for d, t in turns.items()}
-    names = F.create_map(*[x for d, w in first.items() for x in (F.lit(d), F.array(*map(F.lit, w)))])
-    lead = F.aggregate(F.zip_with("v", names[F.size("v")], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    placed = common.stored(rows.withColumn("dim", F.size("v")).withColumn("lead", lead), "placed")
-    sizes = {r["dim"]: r["n"] for r in placed.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    cell = lambda lead: np.trunc(lead * 4096).astype(np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, m in by_length(batches):
+            dim = m.shape[1]
+            cells, n = np.unique(cell(first(unit(m), turns[dim])), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"dim": np.full(len(cells), dim, np.int32), "cell": cells, "n": n.astype(np.int64)})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, m in by_length(batches):
+            lead = first(unit(m), turns[m.shape[1]])
+            yield pa.RecordBatch.from_pydict({"dim": np.full(len(at), m.shape[1], np.int32), "cell": cell(lead), "lead": lead, "vec_id": batch.column("vec_id").take(pa.array(at)), "v": [x.tobytes() for x in m]})
+
     # bounds of the ranges; rows of one bound are told apart by a hash, so a hot value spreads over tiles
-    cells = placed.select("dim", (F.col("lead") * 4096).cast("int").alias("cell")).groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    cells = common.stored(rows.select("v").mapInArrow(count, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n")), "cells")
+    tiles_n = cells.groupBy("dim").agg(F.ceil(F.sum("n") / per_tile).alias("n")).agg(F.sum("n")).first()[0] or 1
     upto = F.sum("n").over(Window.partitionBy("dim").orderBy("cell"))
-    cells = cells.select(F.col("dim").alias("_dim"), F.col("cell").alias("_cell"), "n", (upto - F.col("n")).alias("before"))
-    size = F.lit(per_tile)
-    at = placed.join(cells, (F.col("dim") == F.col("_dim")) & ((F.col("lead") * 4096).cast("int") == F.col("_cell")))
+    ranges = cells.select(F.col("dim").alias("_dim"), F.col("cell").alias("_cell"), "n", (upto - F.col("n")).alias("before"))
+    placed = rows.mapInArrow(place, "dim int, cell int, lead double, vec_id long, v binary")
+    at = placed.join(common.small(ranges), (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell")))
     within = F.pmod(F.xxhash64("vec_id", "lead"), F.col("n"))
-    at = at.withColumn("tile", F.floor((F.col("before") + within) / size).cast("int"))
-    assert sizes is not None
+    at = at.withColumn("tile", F.floor((F.col("before") + within) / F.lit(per_tile)).cast("int"))
+    kind = _kind(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        ids = t["vec_id"].to_numpy()
-        dim = t["dim"][0].as_py()
-        m = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        order = np.lexsort([*m.T[::-1], ids])
-        ids, m = ids[order].astype("<i8"), np.ascontiguousarray(m[order])
-        turned = np.ascontiguousarray(m @ turns[dim])
-        yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "tile": pa.array([t["tile"][0].as_py()], pa.int32()), "least": [turned[:, 0].min()], "most": [turned[:, 0].max()], "rows": [len(ids)], "ids": [ids.tobytes()], "vectors": [m.tobytes()], "turned": [turned.tobytes()]})
-
-    return common.stored(at.select("dim", "tile", "vec_id", "v").groupBy("dim", "tile").applyInArrow(pack, _PART), "tiles")
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, least: float, leading: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs whose cosine is at least `least`: bound first, then the whole product."""
-    k = min(leading, a.shape[1])
-    rest_a, rest_b = (np.sqrt(np.maximum(0, (t[:, k:] ** 2).sum(axis=1))) for t in (ta, tb))
-    hopeful = ta[:, :k] @ tb[:, :k].T + rest_a[:, None] * rest_b[None, :] >= least - 1e-9
-    i, j = np.nonzero(hopeful)
+        dim, raw = t["dim"][0].as_py(), b"".join(t["v"].to_pylist())
+        lead = first(unit(np.frombuffer(raw, kind).reshape(-1, dim)), turns[dim])
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "tile": pa.array([t["tile"][0].as_py()], pa.int32()), "least": [lead.min()], "most": [lead.max()], "rows": [len(t)], "ids": [t["vec_id"].to_numpy().astype("<i8").tobytes()], "vectors": [raw]})
+
+    files = max(min(tiles_n, FILES), -(-tiles_n // 16))
+    out = common.stored(at.select("dim", "tile", "vec_id", "v").repartition(files, "dim", "tile").groupBy("dim", "tile").applyInArrow(pack, _PART), "tiles")
+    common.forget(cells)
+    return out
+
+
+def _kind(rows: DataFrame) -> str:
+    return "<f4" if rows.schema["v"].dataType.elementType == T.FloatType() else "<f8"
+
+
+def prepared(m: np.ndarray, turn: np.ndarray, leading: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and of each the leading dimensions with the norm of the rest behind: their products bound the cosines."""
+    m = unit(m)
+    turned = m @ turn
+    rest = np.sqrt(np.maximum(0, (turned[:, leading:] ** 2).sum(axis=1, keepdims=True)))
+    return m, np.concatenate([turned[:, :leading], rest], axis=1).astype(np.float32)
+
+
+def close_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of prepared rows whose cosine is at least `least`: bound first, then the whole product."""
+    (a, bound_a), (b, bound_b) = a, b
+    slack = (bound_a.shape[1] + 4) * 2.0**-22  # of single precision
+    i, j = np.nonzero(bound_a @ bound_b.T >= np.float32(least - slack))
     out = []
     for s in range(0, len(i), 1 << 17):
         x, y = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
@@ -120,64 +163,119 @@ def close_pairs(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, le
     return np.concatenate([o[0] for o in out]) if out else i, np.concatenate([o[1] for o in out]) if out else j
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (i, j); nodes are numbers."""
-    up: dict[int, int] = {}
+def merged(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each node's component, when those of `up` are joined by links (i, j) as well."""
+    while True:
+        x, y = up[i], up[j]
+        apart = x != y
+        if not apart.any():
+            return up
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        up = up.copy()
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(higher := up[up], up):
+            up = higher
 
-    def root(x: int) -> int:
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = x = up[p] if p in up else p
-        return x
 
-    out = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
+def turn(packed: DataFrame, dim: int, heads: list, axes_of: np.ndarray, kind: str, least: float, leading: int) -> DataFrame:
+    """(a, b, n) of the tiles `heads` among each other and with those behind them: n links of the vector a, or an edge (a, b)."""
+    gap = float(np.sqrt(2 - 2 * least)) + 1e-9
+    low, high = min(h["tile"] for h in heads), max(h["tile"] for h in heads)
+    own = packed.where((F.col("dim") == dim) & F.col("tile").between(low, high))
+    own = own.select("tile", "least", "most", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
+    near = (F.col("l") <= max(h["most"] for h in heads) + gap) & (F.col("m") >= min(h["least"] for h in heads) - gap)
+    theirs = packed.select("dim", F.col("tile").alias("other"), F.col("least").alias("l"), F.col("most").alias("m"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b"))
+    theirs = theirs.where((F.col("dim") == dim) & (F.col("other") >= low) & near)
+    pairs = theirs.join(F.broadcast(own), (F.col("tile") <= F.col("other")) & (F.col("l") <= F.col("most") + gap) & (F.col("m") >= F.col("least") - gap))
+    ends = np.cumsum([0, *[h["rows"] for h in heads]])
+    begin = {h["tile"]: int(e) for h, e in zip(heads, ends[:-1], strict=True)}
+    total = int(ends[-1])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda raw: prepared(np.frombuffer(raw, kind).reshape(-1, dim), axes_of, leading)
+        ids, up, counts = np.zeros(total, np.int64), np.arange(total), np.zeros(total, np.int64)
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now = None  # the tile that meets those of the turn: number, ids, prepared rows, links of each
+
+        def found(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": at[n > 0], "b": pa.nulls(int((n > 0).sum()), pa.int64()), "n": n[n > 0]})
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": a, "b": b, "n": pa.nulls(len(a), pa.int64())})
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                tile, other, a_ids, a, b_ids, b = (batch.column(c)[n] for c in range(6))
+                tile, other = tile.as_py(), other.as_py()
+                if tile not in known:
+                    known[tile] = read(a.as_buffer())
+                    ids[begin[tile] : begin[tile] + len(known[tile][0])] = np.frombuffer(a_ids.as_buffer(), "<i8")
+                if now is None or now[0] != other:
+                    if now and now[0] not in begin:
+                        yield found(now[1], now[3])
+                    b_ids = np.frombuffer(b_ids.as_buffer(), "<i8")
+                    now = other, b_ids.copy(), read(b.as_buffer()), np.zeros(len(b_ids), np.int64)
+                    if other in begin:
+                        ids[begin[other] : begin[other] + len(b_ids)] = b_ids
+                i, j = close_pairs(known[tile], now[2], least)
+                if tile == other:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                i = i + begin[tile]
+                counts += np.bincount(i, minlength=total)
+                if other in begin:
+                    j = j + begin[other]
+                    counts += np.bincount(j, minlength=total)
+                    up = merged(up, i, j)
+                else:
+                    now[3][:] += np.bincount(j, minlength=len(now[1]))
+                    both = merged(np.concatenate([up, total + np.arange(len(now[1]))]), i, total + j)
+                    up, to = both[:total], both[total:]
+                    linked = np.flatnonzero(to < total)
+                    yield edges(ids[to[linked]], now[1][linked])
+        if now and now[0] not in begin:
+            yield found(now[1], now[3])
+        yield found(ids, counts)
+        led = np.flatnonzero(up < np.arange(total))
+        yield edges(ids[up[led]], ids[led])
+        common.give_back()
+
+    return common.stored(pairs.select("tile", "other", "a_ids", "a", "b_ids", "b").mapInArrow(compare, "a long, b long, n long"), "near")
+
+
+def folded(found: list[DataFrame]) -> DataFrame:
+    """What turns found as one table: a count a vector, an edge a vector."""
+    every = reduce(DataFrame.unionByName, found)
+    counts = every.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).select("a", F.lit(None).cast("long").alias("b"), "n")
+    edges = components(every.where("b IS NOT NULL").select("a", "b")).where("node <> component")
+    out = common.stored(counts.unionByName(edges.select(F.col("component").alias("a"), F.col("node").alias("b"), F.lit(None).cast("long").alias("n"))), "near")
+    common.forget(*found)
     return out
 
 
 def near(vectors: DataFrame, least: float = 0.9, per_tile: int = TILE, leading: int = LEADING) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    rows = common.stored(unit(vectors), "unit")
+    rows = usable_rows(vectors)
     turns = axes(rows)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if not turns:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     packed = tiles(rows, turns, per_tile)
-    gap = float(np.sqrt(2 - 2 * least)) + 1e-9
-    heads = packed.select("dim", "tile", "least", "most")
-    other = heads.select(F.col("dim").alias("d"), F.col("tile").alias("other"), F.col("least").alias("l"), F.col("most").alias("m"))
-    meet = heads.join(other, (F.col("dim") == F.col("d")) & (F.col("tile") <= F.col("other")) & (F.col("l") <= F.col("most") + gap) & (F.col("m") >= F.col("least") - gap)).select("dim", "tile", "other")
-    mine = packed.select("dim", "tile", F.col("ids").alias("a_ids"), F.col("vectors").alias("a"), F.col("turned").alias("ta"))
-    theirs = packed.select("dim", F.col("tile").alias("other"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b"), F.col("turned").alias("tb"))
-    pairs = meet.join(mine, ["dim", "tile"]).join(theirs, ["dim", "other"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                r = {k: c[n].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
-                a_ids, b_ids = np.frombuffer(r["a_ids"], "<i8"), np.frombuffer(r["b_ids"], "<i8")
-                a, ta = (np.frombuffer(r[k]).reshape(len(a_ids), r["dim"]) for k in ("a", "ta"))
-                b, tb = (np.frombuffer(r[k]).reshape(len(b_ids), r["dim"]) for k in ("b", "tb"))
-                own = r["tile"] == r["other"]
-                i, j = close_pairs(a, b, ta, tb, least, leading)
-                if own:
-                    i, j = i[i < j], j[i < j]
-                counts = np.bincount(i, minlength=len(a_ids))
-                other = np.bincount(j, minlength=len(b_ids))
-                edges = forest(i, j + (0 if own else len(a_ids)))
-                every = a_ids if own else np.concatenate([a_ids, b_ids])
-                links = counts + other if own else np.concatenate([counts, other])
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_pydict({"a": every[at], "b": pa.nulls(len(at), pa.int64()), "n": links[at].astype(np.int64)})
-                x, y = (np.array(e, np.int64) for e in (zip(*edges, strict=True) if edges else ((), ())))
-                yield pa.RecordBatch.from_pydict({"a": every[x], "b": every[y], "n": pa.nulls(len(x), pa.int64())})
-
-    found = common.stored(pairs.mapInArrow(compare, "a long, b long, n long"), "near")
-    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
-    joined = components(found.where("b IS NOT NULL").select("a", "b"))
+    heads = packed.select("dim", "tile", "least", "most", "rows", F.length("vectors").alias("bytes")).orderBy("dim", "tile").collect()  # a row for each tile
+    found, own, size = [], [], 0
+    for k, head in enumerate(heads):
+        own, size = [*own, head], size + head["bytes"]
+        after = heads[k + 1] if k + 1 < len(heads) else None
+        if after is None or after["dim"] != head["dim"] or size + after["bytes"] > TURN_BYTES:
+            found.append(turn(packed, head["dim"], own, turns[head["dim"]], _kind(rows), least, leading))
+            own, size = [], 0
+            if len(found) >= FOLD:
+                found = [folded(found)]
+    common.forget(packed)
+    every = reduce(DataFrame.unionByName, found)
+    counts = every.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n_links"))
+    joined = components(every.where("b IS NOT NULL").select("a", "b"))
     out = ids.join(counts, ids["vec_id"] == counts["a"], "left").join(joined, ids["vec_id"] == joined["node"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -1,12 +1,13 @@
 """Operators on embeddings against brute force."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.llm import embedding_dedup, topk_search
+from quirelake.llm import common, embedding_dedup, topk_search
 from quirelake.llm.components import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n string"
@@ -74,6 +75,35 @@ def test_near_vectors_equal_brute_force(spark):
     assert embedding_dedup.near(df.where("false")).count() == 0
 
 
+def test_near_vectors_in_turns_hold_the_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(6000, 64)).astype(np.float32)
+    m[3000:3200] = m[0] * rng.uniform(1, 3, size=(200, 1))  # a large group across tiles
+    m[4000:4400] = m[1000:1400] + 0.1 * rng.normal(size=(400, 64))
+    folder, held, stored = common.shared_dir(spark).removeprefix("file:"), [], common.stored
+    size = lambda: sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+    before = size()
+
+    def watched(df, name):
+        out = stored(df, name)
+        held.append(size() - before)
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    monkeypatch.setattr(embedding_dedup, "TURN_BYTES", 1500 * 256, raising=False)
+    monkeypatch.setattr(embedding_dedup, "FOLD", 3, raising=False)
+    df = spark.createDataFrame(((i, v.tolist(), 0, "") for i, v in enumerate(m)), SCHEMA)
+    out = {r.vec_id: r for r in embedding_dedup.near(df, per_tile=300).collect()}
+    unit = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    assert [out[i].n_links for i in range(6000)] == (near.sum(axis=1) - 1).tolist()
+    lowest = np.arange(6000)
+    while not np.array_equal(least := np.where(near, lowest, 6000).min(axis=1), lowest):
+        lowest = least
+    assert [out[i].component_id for i in range(6000)] == lowest.tolist()
+    assert max(held) < 1.5 * m.nbytes
+
+
 @pytest.mark.parametrize("edges, want", [
     ([], {}),
     ([(1, 2), (2, 3), (5, 4)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}),
