@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -61,6 +62,47 @@ def _forget(spark: SparkSession, path: str) -> None:
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+#: Seconds between two returns of the driver's memory, and MB of its heap up to which no garbage is collected for that.
+SHRINK_SECONDS, SHRINK_MB = 5, 128
+#: Of the heap of the driver, the hundredth parts that may be free after a collection; the JVM's own value is 70.
+_FREE = "40"
+_shrunk: dict[str, float] = {}
+
+
+def _managed(spark: SparkSession, bean: str, operation: str, *args: str) -> None:
+    """Call an operation of a management bean of the driver's JVM; the beans' classes are closed, the interface is open."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+
+    def array(kind, items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    name = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}")
+    call.invoke(server, array(jvm.Object, [name, operation, array(jvm.Object, args), array(jvm.String, ["java.lang.String"] * len(args))]))
+
+
+def shrink_driver(spark: SparkSession) -> None:
+    """Return what the driver's JVM has freed to the system: many queries of many tasks grow its heap to the limit, full of garbage,
+    and it keeps that heap and what the C library has freed. Best effort: other JVMs lack the beans."""
+    key = spark.sparkContext.applicationId
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if key in _shrunk and time.monotonic() - _shrunk[key] < SHRINK_SECONDS:
+        return
+    try:
+        if key not in _shrunk:
+            _managed(spark, "HotSpotDiagnostic", "setVMOption", "MaxHeapFreeRatio", _FREE)
+        if heap.totalMemory() > SHRINK_MB << 20:
+            spark.sparkContext._jvm.System.gc()
+        _managed(spark, "DiagnosticCommand", "systemTrimNativeHeap")
+    except Exception:  # noqa: BLE001 - a JVM without them; its heap stays as it is
+        pass
+    _shrunk[key] = time.monotonic()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a scratch table to the shared folder and read it back. Lost executors lose nothing of it."""
     spark = df.sparkSession
@@ -73,6 +115,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    shrink_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
