@@ -125,6 +125,25 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert empty.n_tokens == 0 and empty.ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_pieces_that_recur_are_merged_once(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = byte_bpe.Codec(byte_bpe.default_ranks(), None), random.Random(4)
+    texts = ["".join(chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x3000), 32, 10, 39))) for _ in range(60)) for _ in range(50)]
+    texts += ["", "it's \u0558\u0558a x\x1c\x85 y", "\0a\0", "word" * 500 + " " * 300, prose("pieces", 300)]
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in map(own.encode_ordinary, texts)]
+    assert codec.encode_packed(texts) == want == codec.encode_packed(texts)
+    merged, single = [], codec.single
+    codec.single = type("", (), {"encode_batch_fast": lambda self, pieces, **kw: merged.extend(pieces) or single.encode_batch_fast(pieces, **kw)})()
+    assert codec.encode_packed(texts) == want and all(len(p) > byte_bpe._SHORT for p in merged)
+    monkeypatch.setattr(byte_bpe, "_REMEMBERED", 0)
+    assert codec.encode_packed(texts) == want and len(merged) > 100
+
+
 def test_hash_ring_is_balanced_and_gapless(spark):
     rows = [(i, prose(i, 3 + i % 30)) for i in range(2000)] + [(5, None), (None, "x"), (None, "x"), (7, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
