@@ -103,15 +103,18 @@ def shrink_driver(spark: SparkSession) -> None:
     _shrunk[key] = time.monotonic()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a scratch table to the shared folder and read it back. Lost executors lose nothing of it."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Cut lineage: write a scratch table to the shared folder and read it back. Lost executors lose nothing of it.
+
+    codec: of a table that lies long and holds texts; else the session's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     try:
         for k, v in _WHILE_WRITING.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

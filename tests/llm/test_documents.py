@@ -431,3 +431,17 @@ def test_walk_word_by_word_is_no_less_than_the_distance(spark):
     most = F.lit(60)
     got = df.select(line_dedup.close(F.col("a"), F.col("b"), most).alias("c"), (F.levenshtein("a", "b") <= most).alias("d"), F.length("a").alias("n")).collect()
     assert all(r.c == r.d for r in got) and {r.c for r in got} == {True, False} and max(r.n for r in got) > line_dedup.SHORT_TEXT
+
+
+def test_line_dedup_cuts_lines_once_and_deals_them_once(spark, monkeypatch):
+    """The normal form is made in one place, and one exchange of the lines that meet serves their leaders too."""
+    made, norm, stored = [], line_dedup.norm, common.stored
+    monkeypatch.setattr(line_dedup, "norm", lambda text: made.append("norm") or norm(text))
+    a = prose("dealt", 20)
+    docs = spark.createDataFrame(list(enumerate([a, a.upper() + "!", prose("other", 20), a + " end"])), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_dropped > 0").collect()} == {1, 3} and made == ["norm"]
+    met = stored(spark.createDataFrame([(1, 1, 0, 0, 20, 1), (1, 2, 0, 0, 20, 2)], "key long, line long, x long, y long, chars int, n long"), "dealt")
+    monkeypatch.setattr(common, "stored", lambda df, *a: df)
+    pairs = line_dedup.led(met, ["key"], 0.9)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
