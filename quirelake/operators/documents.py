@@ -15,6 +15,12 @@ def signed(found: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.select("doc_id", (F.coalesce("marked", F.lit(False)) | F.col("sig_nonzero")).alias("is_signed"))
 
 
+def is_signed() -> Column:
+    """`signed` of a file's own row, which holds kind, type and has_byte_range of its objects."""
+    mark = lambda o: F.coalesce(o["has_byte_range"] | (F.coalesce(o["type"].isin("Sig", "DocTimeStamp"), F.lit(False)) & (o["kind"] == "dict")), F.lit(False))
+    return F.when(F.col("status") == "ok", F.exists("objects", mark) | F.col("sig_nonzero"))
+
+
 def signature_indicators(found: DataFrame) -> DataFrame:
     """The three marks of the editing side; SigFlags counts by its first bit there."""
     return found.where("status = 'ok'").select("doc_id", "sig_flags", "sig_field", "perms", (F.col("sig_flags") | F.col("sig_field") | F.col("perms")).alias("any"))

@@ -9,6 +9,7 @@ from ..operators import documents as D
 from ..operators import images as I
 from ..options import CompressOptions
 from ..sources import bridge
+from ..sources.made import Made
 from ..sources.tables import facts, section
 from .iterate import checkpoint
 
@@ -22,8 +23,16 @@ img AS (SELECT ok.*, j, (d + j % 2) % 5 AS kind FROM ok, LATERAL (SELECT unnest(
 """
 
 
-def files(spark, sf_dir) -> DataFrame:
-    return bridge.files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def documents(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def files(spark, sf_dir) -> Made:
+    return bridge.made(documents(spark, sf_dir))
+
+
+#: What tells that a file is signed.
+SIGNS = "objects(kind, type, has_byte_range)"
 
 
 def _found(spark, sf_dir, *sections):
@@ -34,17 +43,16 @@ def _found(spark, sf_dir, *sections):
 
 def _pictures(spark, sf_dir):
     """(all, images, placed) of one parse, kept for the joins below it."""
-    found = _found(spark, sf_dir, "images", "placements", "resources")
+    found = _found(spark, sf_dir, "images(num, gen, width, height)", "placements", "resources")
     images = section(found, "images")
     return found, images, I.placed_images(section(found, "placements"), section(found, "resources"), images)
 
 
 def doc_profile(spark, sf_dir):
-    found = _found(spark, sf_dir, "objects", "images", "placements", "resources")
+    found = _found(spark, sf_dir, SIGNS, "images(num, gen, width, height)", "placements", "resources")
     images = section(found, "images")
     dpi = I.max_dpi(I.placed_images(section(found, "placements"), section(found, "resources"), images)).groupBy("doc_id").agg(F.max("dpi").cast("double").alias("max_dpi"))
-    marks = D.signed(found, section(found, "objects"))
-    return found.select("doc_id", "status", F.col("page_count").cast("long").alias("pages"), F.when(F.col("status") == "ok", F.size("images")).cast("long").alias("images")).join(marks, "doc_id", "left").join(dpi, "doc_id", "left")
+    return found.select("doc_id", "status", F.col("page_count").cast("long").alias("pages"), F.when(F.col("status") == "ok", F.size("images")).cast("long").alias("images"), D.is_signed().alias("is_signed")).join(dpi, "doc_id", "left")
 
 
 def parse_status(spark, sf_dir):
@@ -52,12 +60,12 @@ def parse_status(spark, sf_dir):
 
 
 def page_rotation(spark, sf_dir):
-    pages = section(_found(spark, sf_dir, "pages"), "pages")
+    pages = section(_found(spark, sf_dir, "pages(rotate)"), "pages")
     return pages.groupBy(D.rotation(F.col("rotate"), F.lit(0)).alias("rotation")).agg(F.count("*").alias("pages"))
 
 
 def object_counts(spark, sf_dir):
-    return section(_found(spark, sf_dir, "objects"), "objects").groupBy("doc_id").agg(F.count("*").alias("objects"))
+    return section(_found(spark, sf_dir, "objects(num)"), "objects").groupBy("doc_id").agg(F.count("*").alias("objects"))
 
 
 def image_effective_dpi(spark, sf_dir):
@@ -65,11 +73,15 @@ def image_effective_dpi(spark, sf_dir):
     return I.max_dpi(placed).select("doc_id", F.col("num").cast("long").alias("num"), F.col("dpi").cast("double").alias("dpi")).drop("num")
 
 
+#: What the image plan looks at.
+PLANNED = "images(num, gen, width, height, bits, filters, color_space, channels, hival, palette_bytes, smask, has_matte, decode, has_color_key, stream_len)"
+
+
 def _plan(spark, sf_dir, options=CompressOptions()):
-    found = _found(spark, sf_dir, "images", "placements", "resources", "refs")
+    found = _found(spark, sf_dir, PLANNED, "placements", "resources", "soft_masks")
     images = section(found, "images")
     placed = I.placed_images(section(found, "placements"), section(found, "resources"), images)
-    return found, images, I.image_plan(images, placed, I.soft_masks(images, section(found, "refs")), I.preserved(images, found), options)
+    return found, images, I.image_plan(images, placed, I.soft_masks(images, section(found, "soft_masks")), I.preserved(images, found), options)
 
 
 def downsample_candidates(spark, sf_dir):
@@ -103,7 +115,7 @@ def limit_rejections(spark, sf_dir):
 
 
 def duplicate_images(spark, sf_dir):
-    found, images, _ = _plan(spark, sf_dir)
+    images = section(_found(spark, sf_dir, "images(num, gen, smask, stream_len, content_sha, render_key)"), "images")
     none = images.select("doc_id", "num", "gen").where("false")
     return I.duplicate_images(images, none, none).groupBy("doc_id").agg(F.count("*").alias("images"))
 
@@ -116,16 +128,18 @@ def duplicate_documents(spark, sf_dir):
 
 
 def unreachable_objects(spark, sf_dir):
-    found = _found(spark, sf_dir, "objects", "refs")
+    found = _found(spark, sf_dir, "objects(num, gen)", "refs(src_num, dst_num)")
     return D.unreachable(section(found, "objects"), section(found, "refs")).groupBy("doc_id").agg(F.count("*").alias("objects"))
 
 
 def signature_report(spark, sf_dir):
-    found = _found(spark, sf_dir, "objects")
-    rows = D.signed(found, section(found, "objects")).withColumn("gray_unapplied", F.lit(False))
-    out = None
-    for policy in ("flatten", "strict", "ignore"):
-        own = D.report(rows, policy).withColumn("policy", F.lit(policy)).groupBy("policy").agg(*[F.count_if(c).alias(c) for c in ("visual_appearance_preserved", "cryptographic_validity_preserved", "operation_blocked", "document_modified")])
+    found = _found(spark, sf_dir, SIGNS).where("status = 'ok'")
+    rows = found.select(D.is_signed().alias("is_signed")).withColumn("gray_unapplied", F.lit(False))
+    policies, flags = ("flatten", "strict", "ignore"), ("visual_appearance_preserved", "cryptographic_validity_preserved", "operation_blocked", "document_modified")
+    # the flags follow from is_signed: the files are counted by it, once for all policies
+    counts, out = checkpoint(rows.groupBy("is_signed", "gray_unapplied").agg(F.count("*").alias("n"))), None
+    for policy in policies:
+        own = D.report(counts, policy).groupBy(F.lit(policy).alias("policy")).agg(*[F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0)).alias(c) for c in flags])
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -137,33 +151,33 @@ def plain_page_geometry(spark, sf_dir):
 
 def shared_content_streams(spark, sf_dir):
     """No two pages of these files share a stream: the join with pages as listed twice shows each page's own."""
-    pages = section(_found(spark, sf_dir, "pages"), "pages")
+    pages = checkpoint(section(_found(spark, sf_dir, "pages(page_no, content_ids)"), "pages"))  # one parse for the four uses
     twice = pages.unionByName(pages.withColumn("page_no", F.col("page_no") + 1000))
     return D.shared_streams(twice).where("page_no < 1000").groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.element_at("others", 1) - 1000).cast("long").alias("other_sum"))
 
 
 def outline_targets(spark, sf_dir):
-    items = section(_found(spark, sf_dir, "outline"), "outline")
+    items = section(_found(spark, sf_dir, "outline(dest_page)"), "outline")
     return items.groupBy("doc_id").agg(F.count("*").alias("items"), F.sum("dest_page").cast("long").alias("page_sum"))
 
 
 def link_targets(spark, sf_dir):
-    links = section(_found(spark, sf_dir, "annotations"), "annotations")
+    links = section(_found(spark, sf_dir, "annotations(page_no, dest_page)"), "annotations")
     return links.where("dest_page = page_no + 1").groupBy("doc_id").agg(F.count("*").alias("links"))
 
 
 def page_text_bytes(spark, sf_dir):
-    rows = section(_found(spark, sf_dir, "page_text"), "page_text")
+    rows = section(_found(spark, sf_dir, "page_text(page_no, text_bytes)"), "page_text")
     return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "text_bytes")
 
 
 def operator_counts(spark, sf_dir):
-    ops = section(_found(spark, sf_dir, "ops"), "ops")
+    ops = section(_found(spark, sf_dir, "ops(operator)"), "ops")
     return ops.groupBy("operator").agg(F.count("*").alias("n"))
 
 
 def scanned_documents(spark, sf_dir):
-    found = _found(spark, sf_dir, "images", "placements", "resources", "pages", "page_text")
+    found = _found(spark, sf_dir, "images(num, gen, width, height)", "placements", "resources", "pages(page_no, media_box, crop_box)", "page_text(page_no, text_bytes)")
     placed = I.placed_images(section(found, "placements"), section(found, "resources"), section(found, "images"))
     pages = I.scanned_pages(placed, section(found, "pages"), section(found, "page_text"))
     return pages.groupBy("scanned").agg(F.count("*").alias("pages"))
@@ -171,7 +185,7 @@ def scanned_documents(spark, sf_dir):
 
 def corpus_report(spark, sf_dir):
     """One row for each file, and the corpus's totals in a last one: a rollup."""
-    found = _found(spark, sf_dir, "images")
+    found = _found(spark, sf_dir, "images(num)")
     rows = found.select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("pages"), F.greatest(F.lit(0), F.coalesce(F.size("images"), F.lit(0))).cast("long").alias("images"), (F.col("status") != "ok").cast("long").alias("failed"))
     return rows.rollup("doc_id").agg(F.sum("pages").alias("pages"), F.sum("images").alias("images"), F.sum("failed").alias("failed"))
 
