@@ -16,6 +16,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..functions import rewrite
 from ..options import CompressOptions
 from ..plans.iterate import checkpoint, small
+from ..sources.made import Made, over
 from ..sources.tables import facts, section
 from . import documents as D
 from . import grayscale as G
@@ -25,45 +26,62 @@ RESULT = "doc_id long, status string, error string, pages int, is_signed boolean
 _PLAN = ["num", "gen", "action", "skip_reason", "stream_len", "filters", "smask", "decode", "has_color_key", "is_soft_mask", "lossless", "downsample", "target_width", "target_height", "quality", "first_downsample", "first_target_width", "first_target_height", "first_quality", "turns_gray"]
 
 
-def planned(files: DataFrame, options: CompressOptions) -> DataFrame:
+def planned(files: DataFrame | Made, options: CompressOptions) -> DataFrame:
     """doc_id, status, error, pages, is_signed and the images' plan of each file."""
-    found = checkpoint(facts(files, "objects", "images", "placements", "resources", "refs"))
+    found = checkpoint(facts(files, "objects(kind, type, has_byte_range)", "images", "placements", "resources", "soft_masks"))
     images = section(found, "images")
     placed = I.placed_images(section(found, "placements"), section(found, "resources"), images)
     kept = I.preserved(images, found)
-    plan = I.image_plan(images, placed, I.soft_masks(images, section(found, "refs")), kept, options)
-    eligible = G.gray_plan(images, kept, G.mask_groups(images, found)).where("residual IS NULL").select("doc_id", "num", "gen", F.lit(True).alias("turns_gray"))
-    plan = plan.join(eligible, ["doc_id", "num", "gen"], "left").withColumn("turns_gray", F.coalesce("turns_gray", F.lit(False)) & F.lit(options.grayscale))
+    plan = I.image_plan(images, placed, I.soft_masks(images, section(found, "soft_masks")), kept, options)
+    if options.grayscale:
+        eligible = G.gray_plan(images, kept, G.mask_groups(images, found)).where("residual IS NULL").select("doc_id", "num", "gen", F.lit(True).alias("turns_gray"))
+        plan = plan.join(eligible, ["doc_id", "num", "gen"], "left").withColumn("turns_gray", F.coalesce("turns_gray", F.lit(False)))
+    else:
+        plan = plan.withColumn("turns_gray", F.lit(False))
     limits = D.limit_rejections(found, D.document_work(plan), options).select("doc_id", F.format_string("limit: %s %d > %d", "kind", "observed", "allowed").alias("limit"))
     rows = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_PLAN))).alias("plan"))
-    marks = D.signed(found, section(found, "objects"))
-    out = found.select("doc_id", "status", "error", F.col("page_count").alias("pages")).join(marks, "doc_id", "left").join(rows, "doc_id", "left").join(limits, "doc_id", "left")
+    out = found.select("doc_id", "status", "error", F.col("page_count").alias("pages"), D.is_signed().alias("is_signed")).join(rows, "doc_id", "left").join(limits, "doc_id", "left")
     return out.withColumn("status", F.when(F.col("limit").isNotNull(), "limit").otherwise(F.col("status"))).withColumn("error", F.coalesce("limit", "error")).drop("limit")
 
 
-def compress(files: DataFrame, options: CompressOptions = CompressOptions()) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(_parse_datatype_string(RESULT))
+def compress(files: DataFrame | Made, options: CompressOptions = CompressOptions()) -> DataFrame:
     # plans are small beside bytes: they go to the files' rows, which stay where they are while the plans fit
     plans = checkpoint(planned(files, options))
-    both = files.select("doc_id", "content").join(small(plans, "200 + 256 * coalesce(size(plan), 0)"), "doc_id")
-    both = both.select("doc_id", "status", "error", "pages", "is_signed", "plan", "content")
+    return rewritten(files.select("doc_id", "content").join(small(plans, "200 + 256 * coalesce(size(plan), 0)"), "doc_id"), options)
+
+
+def rewritten(both: DataFrame | Made, options: CompressOptions = CompressOptions(), keep: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """The result of `compress` from files whose rows hold their plans; and columns as they were (keep: new name to name).
+
+    Where files are made from smaller rows, the plans can join those, so that no file's bytes are shuffled.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = _parse_datatype_string(RESULT)
+    arrow = to_arrow_schema(schema)
+    for name, old in keep.items():
+        schema.add(name, both.schema[old].dataType)
+    own = ["doc_id", "status", "error", "pages", "is_signed", "plan", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
-                data, plan = r.pop("content"), r.pop("plan") or []
-                row = r | {"input_bytes": len(data), "content": data, "flattened": 0, "deduplicated": 0, "gray": 0, "gray_oversize": 0, "gray_unapplied": False, "fonts_subset": 0, "modified": False, "images": []}
-                if r["status"] == "ok":
-                    try:
-                        row |= rewrite.compress(data, plan, options, bool(r["is_signed"]))
-                    except (ValueError, TypeError, KeyError, IndexError, RecursionError) as e:
-                        row |= {"status": "rewrite_failed", "error": str(e)[:200]}
-                yield pa.RecordBatch.from_pylist([row | {"output_bytes": len(row["content"])}], arrow)
-
-    return both.mapInArrow(run, RESULT)
+            for i in range(0, batch.num_rows, 32):
+                part = batch.slice(i, 32)
+                rows = [_rewritten({k: x.as_py() for k, x in zip(own, values, strict=True)}, options) for values in zip(*part.columns[: len(own)], strict=True)]
+                yield pa.RecordBatch.from_arrays(pa.RecordBatch.from_pylist(rows, arrow).columns + part.columns[len(own) :], names=schema.names)
+
+    return over(both, [*own, *keep.values()], run, schema)
+
+
+def _rewritten(r: dict, options: CompressOptions) -> dict:
+    data, plan = r.pop("content"), r.pop("plan") or []
+    row = r | {"input_bytes": len(data), "content": data, "flattened": 0, "deduplicated": 0, "gray": 0, "gray_oversize": 0, "gray_unapplied": False, "fonts_subset": 0, "modified": False, "images": []}
+    if r["status"] == "ok":
+        try:
+            row |= rewrite.compress(data, plan, options, bool(r["is_signed"]))
+        except (ValueError, TypeError, KeyError, IndexError, RecursionError) as e:
+            row |= {"status": "rewrite_failed", "error": str(e)[:200]}
+    return row | {"output_bytes": len(row["content"])}
 
 
 def report_json(result: DataFrame, policy: str | None, details: bool = False) -> DataFrame:
